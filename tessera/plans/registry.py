@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+from tessera.ship import ship
+
+MODULES = ("shapes", "collisions", "totals", "packs", "texts", "searches")
+
+
+def _all() -> dict:
+    out = {}
+    for m in MODULES:
+        out |= import_module(f"tessera.plans.{m}").QUERIES
+    return out
+
 
 def queries() -> dict:
-    return {}
+    """name: a function of (spark, sf_dir)."""
+    return {k: (lambda s, d, f=f: f(ship(s), d)) for k, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in _all().items() if sql}
