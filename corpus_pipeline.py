@@ -18,7 +18,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents predicted to be toxic; the labels of a third of the ids stay unseen."""
     labels = ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
     model = learn(docs, labels, bucket_of(F.col("doc_id"), 3) != 1)
-    return score(docs, model, docs.columns).where("predicted = 0").select(*docs.columns)
+    return score(docs, model, docs.columns).where("predicted = 0").select("_row.*")
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

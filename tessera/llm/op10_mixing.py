@@ -12,9 +12,9 @@ is one distributed aggregation over a histogram (source, size, documents), which
 the dual needs; multipliers are columns of a table, never collected.
 
 Rates are then rounded into copies: the sizes of a source line up, each takes the whole
-copies that fall into its stretch of the running sum of rates, and the size nearest to what
-the source still misses gives or takes a copy, CORRECTIONS times. All that runs over the
-histogram. The documents of one source and size share their copies evenly by rank; ranks
+copies that fall into its stretch of the running sum of rates, and what the source then
+misses is made up from the largest sizes that fit in it, CORRECTIONS times. All that runs
+over the histogram. The documents of one source and size share their copies evenly by rank; ranks
 come from salted groups of at most GROUP documents, so neither a hot source nor a group of
 equal sizes meets in one task. A document takes at most 2 copies. Sums that decide are of
 integers, so reruns agree.
@@ -99,17 +99,16 @@ def group_copies(per: DataFrame, rounds: int = CORRECTIONS) -> DataFrame:
     line = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.sum(F.col("n") * F.col("rate")).over(line) + F.lit(UNIT // 2)
     step = F.shiftright(upto, 20) - F.shiftright(upto - F.col("n") * F.col("rate"), 20)
-    out = materialize(per.withColumn("copies", step.cast("long")), "mix-copies")
+    out = per.withColumn("copies", step.cast("long"))
+    whole, falling = Window.partitionBy("source"), Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
     for _ in range(rounds):
-        miss = out.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("miss")).withColumnRenamed("source", "s")
-        some = out.join(miss, out["source"].eqNullSafe(F.col("s"))).drop("s")
-        can = F.when(F.col("miss") > 0, F.col("copies") < F.col("n") * int(LIMIT)).otherwise(F.col("copies") > 0)
-        left = F.abs(F.abs("miss") - F.col("size"))
-        pick = some.where(can & (F.col("size") > 0) & (left < F.abs("miss"))).groupBy("source").agg(F.min_by(F.struct("size", F.signum("miss").cast("long").alias("by")), F.struct(left.alias("left"), F.col("size").alias("z"))).alias("p"))
-        pick = pick.select(F.col("source").alias("s"), F.col("p.size").alias("z"), F.col("p.by").alias("by"))
-        moved = out.join(pick, out["source"].eqNullSafe(F.col("s")) & (out["size"] == F.col("z")), "left")
-        out = materialize(moved.withColumn("copies", F.col("copies") + F.coalesce("by", F.lit(0))).drop("s", "z", "by"), "mix-copies")
-    return out
+        out = out.withColumn("miss", F.col("target") - F.sum(F.col("copies") * F.col("size")).over(whole))
+        can = F.when(F.col("miss") > 0, F.col("n") * int(LIMIT) - F.col("copies")).otherwise(F.col("copies"))
+        can = F.when((F.col("size") > 0) & (F.col("size") <= F.abs("miss")), can).otherwise(F.lit(0))
+        out = out.withColumn("can", can).withColumn("used", F.coalesce(F.sum(F.col("can") * F.col("size")).over(falling), F.lit(0)))
+        take = F.least(F.col("can"), F.floor(F.greatest(F.abs("miss") - F.col("used"), F.lit(0.0)) / F.greatest("size", F.lit(1))))
+        out = out.withColumn("copies", (F.col("copies") + F.signum("miss").cast("long") * take).cast("long")).drop("miss", "can", "used")
+    return materialize(out, "mix-copies")
 
 
 def mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tessera.llm.common import bucket_of, materialize
 
@@ -136,7 +137,7 @@ class Matcher:
             own.setdefault(p, [0.0, 0.0, False])[2] = True
         for t, v in own.items():
             self.auto.add_word(t, (len(t), *v))
-        self.some = bool(own)
+        self.some = bool(model["terms"])
         if self.some:
             self.auto.make_automaton()
 
@@ -232,23 +233,22 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPL
     return model
 
 
-def score(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
-    """doc_id (or the columns keep), score and predicted, for every row."""
-    keep, text = keep or ["doc_id"], json.dumps(model)
+def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
+    """_row (the columns keep), score and predicted, for every row."""
+    text = json.dumps(model)
 
     def run(batches):
         m = Matcher(json.loads(text))
         for b in batches:
             s = [m.score(t or "") for t in b.column(0).to_pylist()]
-            yield pa.record_batch([*b.columns[1:], pa.array(s, pa.float64()), pa.array([int(x >= THRESHOLD) for x in s], pa.int32())], names=[*b.schema.names[1:], "score", "predicted"])
+            yield pa.record_batch([b.column(1), pa.array(s, pa.float64()), pa.array([int(x >= THRESHOLD) for x in s], pa.int32())], names=["_row", "score", "predicted"])
 
-    rows = docs.select(F.col("text").alias("_text"), *keep)
-    fields = ", ".join(f"`{c}` {t}" for c, t in rows.select(*keep).dtypes)
-    return rows.mapInArrow(run, f"{fields}, score double, predicted int")
+    rows = docs.select(F.col("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"))
+    return rows.mapInArrow(run, StructType([rows.schema["_row"], StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learns from rows outside the third that is held out, scores all."""
     model = learn(docs, labels, bucket_of(F.col("doc_id"), 3) != 1)
-    out = score(docs, model)
+    out = score(docs, model, ["doc_id"]).select("_row.doc_id", "score", "predicted")
     return out.select("doc_id", (bucket_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")

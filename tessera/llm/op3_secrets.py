@@ -87,12 +87,12 @@ def spans(text: Column, kind: str) -> Column:
 
 
 def find(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns keep, _text, and _spans: every verified span of every row, by start, then kind."""
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text")).withColumn("_key", F.xxhash64("_text"))
+    """_row (the columns keep), _text, and _spans: every verified span of every row, by start, then kind."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.coalesce("text", F.lit("")).alias("_text")).withColumn("_key", F.xxhash64("_text"))
     found = rows.join(candidates(postings(rows)), "_key", "left")
     empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     each = [spans(F.col("_text"), k) if not RULES[k][3] else F.when(F.array_contains("_kinds", k), spans(F.col("_text"), k)).otherwise(empty) for k in RULES]
-    return found.select(*keep, "_text", F.array_sort(F.flatten(F.array(*each))).alias("_spans"))
+    return found.select("_row", "_text", F.array_sort(F.flatten(F.array(*each))).alias("_spans"))
 
 
 def joined(found: Column) -> Column:
@@ -106,17 +106,18 @@ def secrets(docs: DataFrame) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return find(docs, ["doc_id"]).select("doc_id", *map(count, BASE), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("_spans")).alias("spans"))
+    return find(docs, ["doc_id"]).select("_row.doc_id", *map(count, BASE), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("_spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with the words of every span replaced by mark and n_chars counted anew; the other columns as they are."""
-    names = docs.columns
-    others = [c for c in names if c != "text"]
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     done = F.aggregate("_spans", zero, lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substr("_text", acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(mark)).alias("out"))))
-    clean = F.when(F.size("_spans") > 0, F.concat(done["out"], F.substr("_text", done["at"] + 1, F.length("_text")))).otherwise(F.col("_text"))
-    out = find(docs.withColumn("_null", F.col("text").isNull()), [*others, "_null"]).withColumn("text", F.when(~F.col("_null"), clean))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    hit = F.size("_spans") > 0
+    clean = F.when(hit, F.concat(done["out"], F.substr("_text", done["at"] + 1, F.length("_text")))).otherwise(F.col("_text"))
+    others = [c for c in docs.columns if c != "text"]
+    found = find(docs.withColumn("_was_null", F.col("text").isNull()), [*others, "_was_null"]).withColumn("_clean", F.when(~F.col("_row._was_null"), clean))
+    own = {c: F.col(f"_row.`{c}`") for c in others} | {"text": F.col("_clean")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(hit, F.length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return found.select(*[own[c].alias(c) for c in docs.columns])
