@@ -57,6 +57,16 @@ def _clip(n: np.ndarray, c: np.ndarray, at: np.ndarray, along: np.ndarray) -> tu
     return float((room[down] / speed[down]).max(initial=-np.inf)), float((room[up] / speed[up]).min(initial=np.inf))
 
 
+def _apart(n: np.ndarray, c: np.ndarray, first: np.ndarray, second: np.ndarray, reach: float) -> bool:
+    """No step of the lattice lies within the half planes: steps whose row comes near enough are tried."""
+    m = np.linalg.inv(np.column_stack([first, second]))
+    i_most, j_most = (np.abs(m).sum(1) * reach).astype(int) + 1
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(-i_most, i_most + 1), np.arange(0, j_most + 1)))
+    steps = np.outer(i, first) + np.outer(j, second)
+    steps = steps[(i != 0) | (j != 0)]
+    return not (n @ steps.T < c[:, None] - 1e-6).all(0).any()
+
+
 def lattice(ring: np.ndarray, gap: float, directions: int = 36) -> tuple[np.ndarray, np.ndarray, float]:
     """Two steps of a densest lattice found for copies of the ring's hull kept gap apart, and its density.
 
@@ -64,7 +74,7 @@ def lattice(ring: np.ndarray, gap: float, directions: int = 36) -> tuple[np.ndar
     each contact is the exit of a ray.
     """
     n, c = difference(G.hull(G.offset(G.hull(ring), gap / 2)))
-    best = None
+    reach, best = float(c.max()), None
     for k in range(directions):
         t = math.pi * k / directions
         u = np.array([math.cos(t), math.sin(t)])
@@ -72,14 +82,16 @@ def lattice(ring: np.ndarray, gap: float, directions: int = 36) -> tuple[np.ndar
         for m in range(1, directions):
             s = t + math.pi * m / directions
             v = np.array([math.cos(s), math.sin(s)])
-            taken = sorted(_clip(n, c, i * first, v) for i in range(-2, 3))
+            # of a neighbouring row those copies count that can reach the ray or the cell
+            most = math.ceil(3 * reach / math.hypot(*first)) + 1
+            taken = sorted(_clip(n, c, i * first, v) for i in range(-most, most + 1))
             far = 0.0
             for low, high in taken:
                 if low < far + 1e-9 and high > far:
                     far = high
             second = far * v
             cell = abs(float(first[0] * second[1] - first[1] * second[0]))
-            if cell > 1e-9 and (best is None or cell < best[0]) and not any((n @ (i * first + j * second) < c - 1e-6).all() for i in range(-2, 3) for j in range(-2, 3) if (i, j) != (0, 0)):
+            if cell > 1e-9 and (best is None or cell < best[0]) and _apart(n, c, first, second, reach):
                 best = (cell, first, second)
     return best[1], best[2], abs(G.area(ring)) / best[0]
 
