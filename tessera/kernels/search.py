@@ -134,19 +134,22 @@ def left_bottom(w: float, h: float, placed: np.ndarray, sheet: tuple[float, floa
     best, cost = None, math.inf
     n_local = int(samples * local)
     u = uniforms(seed, 2 * samples).reshape(-1, 2)
-    corner = [low, *([np.array([r[2] + gap, r[1]]) for r in placed] + [np.array([r[0], r[3] + gap]) for r in placed] + [np.array([r[2] + gap, half]) for r in placed])]
-    tries = np.vstack([np.array(corner), low + u[: samples - n_local] * (high - low)])
+    floor_ = np.full(len(placed), half)
+    corner = np.vstack([low[None], *([np.column_stack([placed[:, 2] + gap, placed[:, 1]]), np.column_stack([placed[:, 0], placed[:, 3] + gap]), np.column_stack([placed[:, 2] + gap, floor_])] if len(placed) else [])])
+    tries = np.vstack([corner, low + u[: samples - n_local] * (high - low)])
 
     def attempt(points: np.ndarray) -> None:
         nonlocal best, cost
-        points = points[((points >= low - 1e-9) & (points <= high + 1e-9)).all(1)]
         loss = 10 * (points[:, 0] + w) + points[:, 1] + h
-        order = np.argsort(loss, kind="stable")
-        for k in order[loss[order] < cost]:
-            x, y = points[k]
-            if not len(placed) or not ((placed[:, 0] < x + w + gap - 1e-9) & (placed[:, 2] > x - gap + 1e-9) & (placed[:, 1] < y + h + gap - 1e-9) & (placed[:, 3] > y - gap + 1e-9)).any():
-                best, cost = (float(x), float(y)), float(loss[k])
-                return
+        points = points[(loss < cost) & ((points >= low - 1e-9) & (points <= high + 1e-9)).all(1)]
+        if len(placed) and len(points):
+            x, y = points[:, :1], points[:, 1:]
+            hit = (placed[:, 0] < x + (w + gap - 1e-9)) & (placed[:, 2] > x - (gap - 1e-9)) & (placed[:, 1] < y + (h + gap - 1e-9)) & (placed[:, 3] > y - (gap - 1e-9))
+            points = points[~hit.any(1)]
+        if len(points):
+            loss = 10 * (points[:, 0] + w) + points[:, 1] + h
+            k = int(loss.argmin())
+            best, cost = (float(points[k, 0]), float(points[k, 1])), float(loss[k])
 
     attempt(tries)
     if best is not None and n_local:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.kernels import geometry as G
 from tessera.kernels import search as K
@@ -48,55 +49,83 @@ def lattices(rows: DataFrame, gap: float, sheet: tuple[float, float], directions
     return per_ring(rows, "id long, ax double, ay double, bx double, by double, density double, copies int", one)
 
 
+#: So many requests or sheets go to Python together; each is still packed alone.
+TOGETHER = 64
+
+
+def per_group(rows: DataFrame, key: str, schema: str, fn: Callable[[int, pd.DataFrame], list[tuple]], order: list[str]) -> DataFrame:
+    """fn(key, its rows, sorted by order) -> rows, for every value of an integer key."""
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values([key, *order], ignore_index=True)
+        cut = np.append(np.flatnonzero(np.diff(f[key].to_numpy(), prepend=f[key].iloc[0] - 1)), len(f))
+        out = [r for s, e in zip(cut[:-1], cut[1:], strict=True) for r in fn(int(f[key].iloc[s]), f.iloc[s:e])]
+        return pd.DataFrame(out, columns=names)
+
+    return rows.groupBy(F.floor(F.col(key) / TOGETHER)).applyInPandas(run, schema)
+
+
 def shelves(parts: DataFrame, sheet: tuple[float, float], gap: float) -> DataFrame:
     """parts (request, id, w, h) -> (request, id, page, x, y)."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["id", "w", "h"], ignore_index=True)
-        got = K.shelves(list(zip(f["w"], f["h"], strict=True)), sheet, gap)
-        return pd.DataFrame([(f["request"][0], f["id"][k], p, x, y) for k, p, x, y in got], columns=["request", "id", "page", "x", "y"])
+    def one(request: int, f: pd.DataFrame) -> list[tuple]:
+        ids = f["id"].tolist()
+        return [(request, ids[k], p, x, y) for k, p, x, y in K.shelves(list(zip(f["w"].tolist(), f["h"].tolist(), strict=True)), sheet, gap)]
 
-    return parts.groupBy("request").applyInPandas(run, "request long, id long, page int, x double, y double")
+    return per_group(parts, "request", "request long, id long, page int, x double, y double", one, ["id", "w", "h"])
+
+
+def _items(f: pd.DataFrame) -> list[tuple]:
+    return list(zip(f["id"].tolist(), f["w"].tolist(), f["h"].tolist(), f["demand"].tolist(), strict=True))
 
 
 def fill_bins(parts: DataFrame, bins: list[tuple], gap: float, seed: int = 0, samples: int = 200) -> DataFrame:
     """parts (request, id, w, h, demand) -> placements, left-bottom-fill."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["id", "w", "h"])
-        got = K.fill_bins(list(f[["id", "w", "h", "demand"]].itertuples(index=False, name=None)), bins, gap, seed + int(f["request"].iloc[0]), samples)
-        return pd.DataFrame([(f["request"].iloc[0], *r) for r in got], columns=["request", "layout", "bin", "id", "x_min", "y_min", "x_max", "y_max"])
+    def one(request: int, f: pd.DataFrame) -> list[tuple]:
+        return [(request, *r) for r in K.fill_bins(_items(f), bins, gap, seed + request, samples)]
 
-    return parts.groupBy("request").applyInPandas(run, "request long, layout int, bin long, id long, x_min double, y_min double, x_max double, y_max double")
+    return per_group(parts, "request", "request long, layout int, bin long, id long, x_min double, y_min double, x_max double, y_max double", one, ["id", "w", "h"])
 
 
 def fill_strips(parts: DataFrame, height: float, gap: float, seed: int = 0, samples: int = 200) -> DataFrame:
     """parts (request, id, w, h, demand) -> (request, width, placed, density)."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["id", "w", "h"])
-        width, got = K.fill_strip(list(f[["id", "w", "h", "demand"]].itertuples(index=False, name=None)), height, gap, seed + int(f["request"].iloc[0]), samples)
-        return pd.DataFrame([(f["request"].iloc[0], width, len(got), sum((r[3] - r[1]) * (r[4] - r[2]) for r in got) / (width * height))], columns=["request", "width", "placed", "density"])
+    def one(request: int, f: pd.DataFrame) -> list[tuple]:
+        width, got = K.fill_strip(_items(f), height, gap, seed + request, samples)
+        return [(request, width, len(got), sum((r[3] - r[1]) * (r[4] - r[2]) for r in got) / (width * height))]
+
+    return per_group(parts, "request", "request long, width double, placed int, density double", one, ["id", "w", "h"])
+
 
-    return parts.groupBy("request").applyInPandas(run, "request long, width double, placed int, density double")
+_BOX = ["x_min", "y_min", "x_max", "y_max"]
 
 
 def offcuts(placed: DataFrame, sheet: tuple[float, float], min_w: float, min_h: float) -> DataFrame:
     """placed (sheet, x_min ... y_max) -> free rectangles, largest first."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["x_min", "y_min", "x_max", "y_max"])
-        got = G.free_rectangles((0.0, 0.0, *sheet), f[["x_min", "y_min", "x_max", "y_max"]].to_numpy(), min_w, min_h)
-        return pd.DataFrame([(f["sheet"].iloc[0], k, *r) for k, r in enumerate(got)], columns=["sheet", "k", "x_min", "y_min", "x_max", "y_max"])
+    def one(key: int, f: pd.DataFrame) -> list[tuple]:
+        return [(key, k, *r) for k, r in enumerate(G.free_rectangles((0.0, 0.0, *sheet), f[_BOX].to_numpy(), min_w, min_h))]
 
-    return placed.groupBy("sheet").applyInPandas(run, "sheet long, k int, x_min double, y_min double, x_max double, y_max double")
+    return per_group(placed, "sheet", "sheet long, k int, x_min double, y_min double, x_max double, y_max double", one, _BOX)
 
 
 def polygon_offcuts(placed: DataFrame, sheet: tuple[float, float]) -> DataFrame:
     """placed -> connected free parts (sheet, k, area, vertices, holes)."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        got = G.free_polygons((0.0, 0.0, *sheet), f[["x_min", "y_min", "x_max", "y_max"]].to_numpy())
-        return pd.DataFrame([(f["sheet"].iloc[0], k, p["area"], len(p["outer"]), len(p["holes"])) for k, p in enumerate(got)], columns=["sheet", "k", "area", "vertices", "holes"])
+    def one(key: int, f: pd.DataFrame) -> list[tuple]:
+        return [(key, k, p["area"], len(p["outer"]), len(p["holes"])) for k, p in enumerate(G.free_polygons((0.0, 0.0, *sheet), f[_BOX].to_numpy()))]
+
+    return per_group(placed, "sheet", "sheet long, k int, area double, vertices int, holes int", one, _BOX)
+
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """rows (id, path) -> (id, k, vertices, area) of each ring, the outer one first."""
+    from tessera.kernels.svgpath import rings
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([(i, k, len(r), G.area(r)) for i, p in zip(f["id"], f["path"], strict=True) for k, r in enumerate(rings(p))], columns=["id", "k", "vertices", "area"])
 
-    return placed.groupBy("sheet").applyInPandas(run, "sheet long, k int, area double, vertices int, holes int")
+    return rows.select("id", "path").mapInPandas(run, "id long, k int, vertices int, area double")

@@ -66,3 +66,34 @@ QUERIES = {
     "q64_rect_offcuts": (rect_offcuts, None),
     "q65_poly_offcuts": (poly_offcuts, FREE),
 }
+
+
+def svg_parse(s, d):
+    """Paths with curves, arcs and relative commands of every polygon, parsed to rings."""
+    from tessera.functions import svg as G
+
+    p = F.col("ring")
+    hole = F.format_string(" M %.4f %.4f a 2 2 0 1 0 4 0 a 2 2 0 1 0 -4 0 z", (F.col("id") * 61) % 1000 - F.lit(2.0), (F.col("id") * 17) % 1000 * 1.0)
+    rows = view(s, d, "g_poly").select("id", F.concat(G.path(p), hole).alias("path"))
+    return K.parsed(rows)
+
+
+def nest_router(s, d):
+    """Orders as requests over sheets of 60 by 40: pages and parts of each."""
+    from tessera.operators.router import nest
+
+    parts = _requests(s, d).groupBy("request", "id", "w", "h").agg(F.sum("demand").alias("demand"))
+    tri = F.col("id") % 4 == 0
+    parts = parts.withColumns({"area": F.col("w") * F.col("h") * F.when(tri, 0.5).otherwise(1.0), "vertices": F.when(tri, 3).otherwise(4), "holes": F.lit(0), "angles": F.lit(None).cast("array<double>")})
+    return nest(parts, (60.0, 40.0), 1.0).groupBy("request").agg(F.sum("copies").alias("parts"), F.countDistinct("page").alias("pages"))
+
+
+#: Every part fits a sheet, so every part that is asked for is placed.
+NESTED = "select l_orderkey as request, count(*) as parts from lineitem group by l_orderkey"
+
+
+def nested_parts(s, d):
+    return nest_router(s, d).select("request", "parts")
+
+
+QUERIES |= {"q67_nest_router": (nested_parts, NESTED), "q68_svg_parse": (svg_parse, None)}
