@@ -109,3 +109,16 @@ def moved(ring: Column, m) -> Column:
         return F.struct(x.alias("x"), y.alias("y"))
 
     return F.transform(ring, one)
+
+
+def collides(a: Column, b: Column) -> Column:
+    """Edges that meet, or one ring inside the other."""
+    crossing = F.exists(edges(a), lambda e: F.exists(edges(b), lambda f: E.collides(as_edge(e), as_edge(f))))
+    return crossing | has_point(b, a[0]["x"], a[0]["y"]) | has_point(a, b[0]["x"], b[0]["y"])
+
+
+def presence(ring: Column, cell: Rect) -> tuple[Column, Column]:
+    """(None, Partial or Entire, number of edges that reach the cell): Partial if any edge does, else by the cell's centre."""
+    n = F.size(F.filter(edges(ring), lambda e: E.hits_rect(as_edge(e), cell)))
+    within = has_point(ring, (cell.x0 + cell.x1) / 2, (cell.y0 + cell.y1) / 2)
+    return F.when(n > 0, "Partial").when(within, "Entire").otherwise("None"), n

@@ -159,7 +159,7 @@ def left_bottom(w: float, h: float, placed: np.ndarray, sheet: tuple[float, floa
     return best
 
 
-def fill_bins(items: list[tuple[int, float, float, int]], bins: list[tuple[int, float, float, int]], gap: float, seed: int, samples: int = 400) -> list[tuple[int, int, int, float, float, float, float]]:
+def fill_bins(items: list[tuple[int, float, float, int]], bins: list[tuple[int, float, float, int]], gap: float, seed: int, samples: int = 400, local: float = 0.2) -> list[tuple[int, int, int, float, float, float, float]]:
     """items (id, w, h, demand), bins (id, w, h, stock) -> (layout, bin, item, x0, y0, x1, y1). Open layouts before new bins, largest items first."""
     layouts: list[list] = []
     stock = {b[0]: b[3] for b in bins}
@@ -172,7 +172,7 @@ def fill_bins(items: list[tuple[int, float, float, int]], bins: list[tuple[int,
                 if fresh and stock[b[0]] <= 0:
                     continue
                 draw += 1
-                at = left_bottom(w, h, np.zeros((0, 4)) if fresh else np.array(layouts[k][1]), b[1:3], gap, seed * 1_000_003 + draw, samples)
+                at = left_bottom(w, h, np.zeros((0, 4)) if fresh else np.array(layouts[k][1]), b[1:3], gap, seed * 1_000_003 + draw, samples, local)
                 if at:
                     if fresh:
                         stock[b[0]] -= 1

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.kernels import geometry as G
+from tessera.kernels import repair as Q
 from tessera.kernels import search as K
 
 
@@ -41,6 +42,29 @@ def offset(rows: DataFrame, by: float) -> DataFrame:
     return per_ring(rows, "id long, area double, area_after double, n int", lambda i, v: [(i, G.area(v), G.area(o := G.offset(v, by)), len(o))])
 
 
+def sanitized(rows: DataFrame) -> DataFrame:
+    """Rings without crossings: vertices before and after, and the area that is left."""
+    return per_ring(rows, "id long, before int, after int, area double", lambda i, v: [(i, len(v), len(q := Q.sanitize(v)), abs(G.area(q)))])
+
+
+def decimated(rows: DataFrame, tolerance: float) -> DataFrame:
+    return per_ring(rows, "id long, before int, after int, area double", lambda i, v: [(i, len(v), len(q := Q.decimate(v, tolerance)), G.area(q))])
+
+
+def without_bays(rows: DataFrame, reach: float, share: float) -> DataFrame:
+    return per_ring(rows, "id long, before int, after int, area double, area_after double", lambda i, v: [(i, len(v), len(q := Q.close_bays(v, reach, share)), G.area(v), G.area(q))])
+
+
+def surrogates(rows: DataFrame, most: int = 3, n_piers: int = 2) -> DataFrame:
+    """Poles (kind 0: centre and radius) and piers (kind 1: two ends) of every ring."""
+
+    def one(i, v):
+        poles = G.surrogate(v, most)
+        return [(i, 0, k, *c, 0.0) for k, c in enumerate(poles.tolist())] + [(i, 1, k, *e) for k, e in enumerate(Q.piers(v, n_piers, poles).tolist())]
+
+    return per_ring(rows, "id long, kind int, k int, a double, b double, c double, d double", one)
+
+
 def lattices(rows: DataFrame, gap: float, sheet: tuple[float, float], directions: int = 12) -> DataFrame:
     def one(i, v):
         a, b, density = K.lattice(v, gap, directions)
