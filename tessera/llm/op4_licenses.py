@@ -1,12 +1,12 @@
 """License scans: Dice coefficient over word bigrams, in DataFrame functions only.
 
 A unit of text is the whole document or one of its lines. Units and licence templates are
-normalised alike: lower case, everything but letters, digits and dots between digits
-dropped, white space collapsed. Their word bigrams, as sets (a single word stands for
+normalised alike: lower case, runs of everything but letters and digits made one space. Their word bigrams, as sets (a single word stands for
 itself), give Dice = 2 |A and B| / (|A| + |B|). A template of b bigrams can reach the
-threshold t only if t / (2 - t) * b <= |A| <= (2 - t) / t * b, so units outside every
-template's bounds are dropped by their number of words before any bigram is made, and the
-rest are compared with the templates whose bounds they meet. Templates are a small list of
+threshold t only if t / (2 - t) * b <= |A| <= (2 - t) / t * b. Units of too few words for
+any template are dropped before a bigram is made; those of too many distinct bigrams after
+that (repeats don't count, so words alone can't tell), and the rest are compared with the
+templates whose bounds they meet. Templates are a small list of
 the caller's (TEMPLATES: notices in common use), part of the expression: no join.
 
 Defined cases: null and empty texts match nothing; equal scores go to the template named
@@ -64,8 +64,6 @@ def licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold:
     """doc_id, license (best template or null), dice, n_matches (units that match some template)."""
     grams = {k: bigrams_of(v) for k, v in sorted(templates.items())}
     most = max(bounds(len(g), threshold)[1] for g in grams.values())
-    # distinct bigrams are at most words - 1, and repeats only lower them: an upper bound on words can't prune by itself, but a
-    # line whose characters exceed what its distinct bigrams could need is pruned by the bigrams' own bound below
     least = min(bounds(len(g), threshold)[0] for g in grams.values())
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0)

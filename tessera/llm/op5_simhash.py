@@ -135,12 +135,12 @@ def links(fps: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
 
 
 def components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """prints (doc_id, fp), a written table -> fp, component_id for every distinct fp."""
+    """prints (doc_id, fp), a written table -> fp, component_id and root (a fingerprint of the component) for every distinct fp."""
     fps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
     nodes = connected_components(materialize(links(fps.select("fp"), radius), "simhash-links"), "simhash-cc")
     of = fps.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     low = of.groupBy("root").agg(F.min("low").alias("component_id"))
-    return of.join(low, "root").select("fp", "component_id")
+    return of.join(low, "root").select("fp", "component_id", "root")
 
 
 def simhash(docs: DataFrame) -> DataFrame:
@@ -151,7 +151,15 @@ def simhash(docs: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id."""
-    prints = materialize(fingerprints(docs), "simhash")
-    kept = prints.join(components(prints), "fp").where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """docs with one row of each component: that of its smallest doc_id, then of the least hash of its text.
+
+    Rows with null doc_id come after all others; repeated rows count once.
+    """
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    prints = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), key.alias("t")).alias("doc_id"), "text")
+    prints = materialize(prints.mapInArrow(_fingerprints, "doc_id struct<doc_id: long, t: long>, fp long").select("doc_id.doc_id", "doc_id.t", "fp"), "simhash")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("t"))
+    kept = prints.join(components(prints), "fp").groupBy("root").agg(F.min_by(F.struct("doc_id", "t"), order).alias("k")).select(F.col("k.doc_id").alias("_kept"), F.col("k.t").alias("_kept_t"))
+    keyed = docs.withColumn("_simhash_text", key)
+    found = keyed.join(kept, keyed["doc_id"].cast("long").eqNullSafe(kept["_kept"]) & (keyed["_simhash_text"] == kept["_kept_t"]), "left_semi")
+    return found.dropDuplicates(["doc_id", "_simhash_text"]).drop("_simhash_text")

@@ -64,7 +64,7 @@ def _licenses_sql() -> str:
     lines as (select doc_id, coalesce(text, '') as t, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(trim(x, ' ')) > 0) as l from documents),
     units as (select doc_id, unnest(case when len(l) > 1 then list_append(l, t) else l end) as u from lines),
     words as (select doc_id, string_split({normal}, ' ') as w from units),
-    grams as (select doc_id, case when len(w) < 2 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1])) end as g from words where w[1] <> '' and len(w) < 60),
+    grams as (select doc_id, case when len(w) < 2 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1])) end as g from words where w[1] <> ''),
     scores as (select row_number() over () as unit, doc_id, g from grams),
     hits as (select unit, doc_id, license, 2.0 * len(list_intersect(s.g, t.grams)) / (len(s.g) + len(t.grams)) as dice from scores s, templates t),
     best as (select doc_id, arg_min(license, (-dice, license)) as license, max(dice) as dice, count(distinct unit) as n from hits where dice >= {t} group by doc_id)

@@ -189,7 +189,17 @@ def test_simhash(docs, none, rows):
     assert all(r.component_id == low.get(root[int(r.fingerprint, 16)]) for r in got)
     kept = op5_simhash.first_of_each(docs)
     assert kept.columns == docs.columns and op5_simhash.simhash(none).count() == 0
-    assert {r.doc_id for r in kept.collect()} == {*low.values()} | ({None} if None in {low.get(root[p]) for _, p in prints} else set())
+    left = kept.collect()
+    assert len(left) == len({root[p] for _, p in prints})
+    assert {root[simhash(r.text or "")] for r in left} == {root[p] for _, p in prints}
+    assert all(r.doc_id == low.get(root[simhash(r.text or "")]) for r in left)
+
+
+def test_one_row_of_each_group_of_null_ids(spark):
+    one, other = "a b c d e f g", "tokens of quite another text here"
+    rows = [(None, one), (5, one), (None, other), (None, other), (5, one), (None, None), (None, " ")]
+    got = op5_simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, (r.text or "").strip()) for r in got) == [(0, ""), (0, other), (5, one)]
 
 
 def test_tiles_and_hot_tiles(spark):
