@@ -81,6 +81,33 @@ def rect_body(x: Column, y: Column, w: Column, h: Column, fill: str) -> Column:
     return F.concat(*[F.concat(F.lit(f'{"<rect" if k == "x" else ""} {k}="'), number(v, 2), F.lit('"')) for k, v in (("x", x), ("y", y), ("width", w), ("height", h))], F.lit(f' fill="{fill}"/>'))
 
 
+def _box_path(x: Column, y: Column, w: Column, h: Column) -> Column:
+    return F.concat(F.lit("M"), number(x, 2), F.lit(","), number(y, 2), F.lit(" h"), number(w, 2), F.lit(" v"), number(h, 2), F.lit(" h"), number(-w, 2), F.lit(" z"))
+
+
+def kerf_band(x: Column, y: Column, w: Column, h: Column, kerf: float) -> Column:
+    """Path, by the even-odd rule, of the rim that a cut takes from a rectangle: all of it if nothing is left inside; null without a kerf."""
+    left = (w > 2 * kerf) & (h > 2 * kerf)
+    rim = F.concat(_box_path(x, y, w, h), F.when(left, F.concat(F.lit(" "), _box_path(x + kerf, y + kerf, w - 2 * kerf, h - 2 * kerf))).otherwise(F.lit("")))
+    return F.when(F.lit(kerf > 0), rim)
+
+
+def inner(document: Column) -> Column:
+    """What stands between a document's svg tags."""
+    return F.regexp_extract(document, r"(?s)<svg[^>]*>\s*(.*?)\s*</svg>", 1)
+
+
+def overlay(document: Column, bodies: Column) -> Column:
+    """The document with an array of bodies drawn last; itself if there are none."""
+    return F.when(F.size(bodies) > 0, F.concat(F.regexp_replace(document, r"(?s)\s*</svg>\s*$", "\n"), F.array_join(bodies, "\n"), F.lit("\n</svg>"))).otherwise(document)
+
+
+def combined(documents: Column, width: Column, height: Column, gap: float) -> Column:
+    """One document of several of one size, one below the other."""
+    moved = F.transform(documents, lambda d, i: F.concat(F.lit('<g transform="translate(0 '), number(i * (height + gap), 2), F.lit(')">'), inner(d), F.lit("</g>")))
+    return document(width, height * F.size(documents) + F.greatest(F.size(documents) - 1, F.lit(0)) * gap, moved)
+
+
 def blend(a: Column, b: Column, part: float) -> Column:
     """Between two colours #rrggbb."""
     def channel(c: Column, at: int) -> Column:

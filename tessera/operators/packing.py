@@ -91,3 +91,13 @@ def pair_cell(w: Column, h: Column, spacing: Column) -> tuple[Column, Column, Co
     diagonal = F.sqrt(w * w + h * h)
     nx, ny = h / diagonal, w / diagonal
     return w + spacing * nx, h + spacing * ny, -w / 6 - nx * spacing / 2, -h / 6 - ny * spacing / 2
+
+
+def unplaced(parts: DataFrame, sheet: tuple[float, float], gap: float) -> DataFrame:
+    """parts (id, w, h, n: copies that found no place) -> (id, k, x, y) on a grid centred on the sheet; rows may run over it."""
+    columns = F.greatest(F.floor((sheet[0] - gap) / (F.col("w") + gap)), F.lit(1))
+    rows = parts.where("n > 0 and w > 0 and h > 0").withColumn("columns", F.least(columns, F.col("n"))).withColumn("rows", F.ceil(F.col("n") / F.col("columns")))
+    x0 = (sheet[0] - F.col("columns") * (F.col("w") + gap) + gap) / 2
+    y0 = (sheet[1] - F.col("rows") * (F.col("h") + gap) + gap) / 2
+    at = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return at.select("id", "k", (x0 + F.col("k") % F.col("columns") * (F.col("w") + gap)).alias("x"), (y0 + F.floor(F.col("k") / F.col("columns")) * (F.col("h") + gap)).alias("y"))

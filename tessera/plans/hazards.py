@@ -1,16 +1,19 @@
-"""Queries of polygons as hazards, of ring repair and of the adaptive search."""
+"""Queries of polygons as hazards, of ring repair, of the adaptive search and of its results."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tessera.functions import ring as P
+from tessera.functions import svg as G
 from tessera.operators import hazards as H
 from tessera.operators import kernels as K
+from tessera.operators import packing
 from tessera.operators import waves as W
 from tessera.plans.searches import NESTED, _requests
 from tessera.plans.shapes import _NEAR, _V, _pairs, bent
 from tessera.plans.views import ctes, view
+from tessera.sources import instances as I
 
 CELL, SHEET, GAP = 16.0, (40.0, 12.0), 1.0
 
@@ -87,6 +90,40 @@ def adaptive_waves(s, d):
     return W.adaptive(parts, (60.0, 40.0), 1.0, samples=30).groupBy("request").agg(F.count("*").alias("parts"))
 
 
+def unplaced_grid(s, d):
+    """What is left of each item's demand beyond multiples of ten, on a sheet of its own."""
+    parts = view(s, d, "g_item").select("id", "w", "h", (F.col("demand") % 10).alias("n"))
+    out = packing.unplaced(parts, (100.0, 60.0), 1.0)
+    return out.select("id", "k", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+UNPLACED = ctes("g_item") + """, n as (select id, w, h, demand % 10 as n, least(greatest(floor(99 / (w + 1))::BIGINT, 1), demand % 10) as c from g_item where demand % 10 > 0),
+ r as (select *, ceil(n::DOUBLE / c)::BIGINT as r, unnest(range(n)) as k from n)
+ select id, k, round((101 - c * (w + 1)) / 2 + k % c * (w + 1), 6) as x, round((61 - r * (h + 1)) / 2 + floor(k::DOUBLE / c) * (h + 1), 6) as y from r"""
+
+
+def kerf_bands(s, d):
+    """The rim of each rectangle as an offcut."""
+    r = view(s, d, "g_rect")
+    return r.select("id", G.kerf_band(F.col("x_min"), F.col("y_min"), F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min"), 1.0).alias("band"))
+
+
+_BOX = "'M' || printf('%.2f', {x}) || ',' || printf('%.2f', {y}) || ' h' || printf('%.2f', {w}) || ' v' || printf('%.2f', {h}) || ' h' || printf('%.2f', -({w})) || ' z'"
+KERF = ctes("g_rect") + f", r as (select *, x_max - x_min as w, y_max - y_min as h from g_rect) select id, {_BOX.format(x='x_min', y='y_min', w='w', h='h')} || case when w > 2 and h > 2 then ' ' || {_BOX.format(x='x_min + 1', y='y_min + 1', w='w - 2', h='h - 2')} else '' end as band from r"
+
+
+def solution_roundtrip(s, d):
+    """Placements written as the JSON of solutions of a thousand sheets each, and read again."""
+    p = view(s, d, "g_placement")
+    placed = p.select(F.col("sheet").alias("layout"), (F.col("sheet") % 7).alias("container_id"), F.col("item").alias("item_id"), F.radians("rot").alias("rot"), F.col("x_min").alias("tx"), F.col("y_min").alias("ty"))
+    density = p.groupBy(F.col("sheet").alias("layout")).agg((F.count("*") / 10).alias("density"))
+    per = density.select(F.floor(F.col("layout") / 1000).alias("solution"), "layout", F.lit(0.5).alias("density"), F.lit(1).alias("run_time_sec"), F.lit(10).cast("long").alias("cost"))
+    got = I.read_solutions(I.solutions_json(placed, density, per, "bins"))
+    return got.select("solution", "container_id", "item_id", F.round(F.degrees("rot")).cast("int").alias("rot"), "tx", "ty")
+
+
+ROUNDTRIP = ctes("g_placement") + " select floor(sheet / 1000)::BIGINT as solution, sheet % 7 as container_id, item as item_id, rot, x_min as tx, y_min as ty from g_placement"
+
 QUERIES = {
     "q69_polygon_collisions": (polygon_collisions, POLYGON_COLLISIONS),
     "q70_cell_presence": (cell_presence, CELL_PRESENCE),
@@ -97,4 +134,7 @@ QUERIES = {
     "q75_close_bays": (close_bays, None),
     "q76_sanitize": (sanitize, None),
     "q77_adaptive_waves": (adaptive_waves, NESTED),
+    "q78_unplaced_grid": (unplaced_grid, UNPLACED),
+    "q79_kerf_bands": (kerf_bands, KERF),
+    "q80_solution_roundtrip": (solution_roundtrip, ROUNDTRIP),
 }

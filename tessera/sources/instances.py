@@ -78,11 +78,40 @@ def strips(instances: DataFrame) -> DataFrame:
     return instances.select("name", F.col("strip_height").alias("height")).join(area, "name").withColumn("width", F.col("area") / F.col("height"))
 
 
-def layouts_json(placed: DataFrame, density: DataFrame) -> DataFrame:
-    """placed (layout, container_id, item_id, rot in radians, tx, ty), density (layout, density) -> one JSON text a layout."""
+def _layouts(placed: DataFrame, density: DataFrame) -> DataFrame:
+    """(layout, l): each layout as a struct, its items in order."""
     each = F.struct("item_id", F.struct(F.degrees("rot").alias("rotation"), F.array("tx", "ty").alias("translation")).alias("transformation"))
     rows = placed.groupBy("layout", "container_id").agg(F.sort_array(F.collect_list(each)).alias("placed_items")).join(density, "layout")
-    return rows.select("layout", F.to_json(F.struct("container_id", "placed_items", "density")).alias("value"))
+    return rows.select("layout", F.struct("container_id", "placed_items", "density").alias("l"))
+
+
+def layouts_json(placed: DataFrame, density: DataFrame) -> DataFrame:
+    """placed (layout, container_id, item_id, rot in radians, tx, ty), density (layout, density) -> one JSON text a layout."""
+    return _layouts(placed, density).select("layout", F.to_json("l").alias("value"))
+
+
+def solutions_json(placed: DataFrame, density: DataFrame, solutions: DataFrame, problem: str) -> DataFrame:
+    """One JSON text a solution. solutions: (solution, layout, density, run_time_sec, and cost of "bins" or strip_width of a "strip"), a row a layout.
+
+    "bins" and "strips" have layouts, "strips" also their containers once each; a "strip" has its one layout.
+    """
+    rows = solutions.withColumnRenamed("density", "whole").join(_layouts(placed, density), "layout")
+    own = {"bins": "cost", "strip": "strip_width"}.get(problem)
+    per = rows.groupBy("solution").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("layout", "l"))), lambda r: r["l"]).alias("layouts"), F.max("whole").alias("density"), F.max("run_time_sec").alias("run_time_sec"),
+        F.array_sort(F.collect_set("l.container_id")).alias("containers"), *([F.max(own).alias(own)] if own else []),
+    )
+    parts = {"bins": ["cost", "layouts"], "strip": ["strip_width", F.col("layouts")[0].alias("layout")], "strips": ["layouts", "containers"]}[problem]
+    return per.select("solution", F.to_json(F.struct(*parts, "density", "run_time_sec")).alias("value"))
+
+
+def read_solutions(texts: DataFrame) -> DataFrame:
+    """The inverse of solutions_json for all three problems: (solution, layout: its place, container_id, item_id, rot, tx, ty)."""
+    got = F.from_json("value", f"layout {S.LAYOUT}, layouts array<{S.LAYOUT}>")
+    rows = texts.select("solution", got.alias("s")).select("solution", F.posexplode(F.coalesce("s.layouts", F.array("s.layout"))).alias("layout", "l"))
+    rows = rows.select("solution", "layout", "l.container_id", F.explode("l.placed_items").alias("p"))
+    move = F.col("p.transformation")
+    return rows.select("solution", "layout", "container_id", "p.item_id", F.radians(move["rotation"]).alias("rot"), move["translation"][0].alias("tx"), move["translation"][1].alias("ty"))
 
 
 def read_layouts(texts: DataFrame) -> DataFrame:

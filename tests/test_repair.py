@@ -84,3 +84,26 @@ def test_parts_that_cannot_fit_say_so(spark):
     parts = spark.createDataFrame(rows, "id long, w double, h double, angles array<double>")
     assert [r.error is None for r in W.checked(parts, (30.0, 20.0), 1.0).orderBy("id").collect()] == [False, True, False, False]
     assert all("too small" in r.error for r in W.checked(parts, (30.0, 1.0), 1.0).collect())
+
+
+def test_documents_and_solutions(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from tessera.functions import svg as V
+    from tessera.sources import instances as I
+
+    doc = '<svg viewBox="0 0 4 2">\n<rect/>\n</svg>'
+    r = spark.createDataFrame([(doc,)], "d string")
+    got = r.select(V.inner(F.col("d")), V.overlay(F.col("d"), F.array(F.lit("<g/>"))), V.overlay(F.col("d"), F.array().cast("array<string>")), V.combined(F.array("d", "d"), F.lit(4.0), F.lit(2.0), 1.0)).first()
+    assert got[0] == "<rect/>" and got[1] == '<svg viewBox="0 0 4 2">\n<rect/>\n<g/>\n</svg>' and got[2] == doc
+    assert got[3].count("<rect/>") == 2 and 'viewBox="0 0 4.00 5.00"' in got[3] and "translate(0 3.00)" in got[3]
+    placed = spark.createDataFrame([(1, 0, 3, 0.5, 1.0, 2.0), (2, 0, 4, 0.0, 5.0, 6.0)], "layout long, container_id long, item_id long, rot double, tx double, ty double")
+    density = spark.createDataFrame([(1, 0.5), (2, 0.7)], "layout long, density double")
+    per = spark.createDataFrame([(9, 1, 0.6, 3, 7, 2.5), (9, 2, 0.6, 3, 7, 2.5)], "solution long, layout long, density double, run_time_sec long, cost long, strip_width double")
+    want = {"bins": {"cost", "layouts"}, "strips": {"layouts", "containers"}, "strip": {"strip_width", "layout"}}
+    for problem, keys in want.items():
+        text = I.solutions_json(placed, density, per if problem != "strip" else per.where("layout = 1"), problem)
+        assert set(json.loads(text.first().value)) == keys | {"density", "run_time_sec"}
+        assert I.read_solutions(text).count() == (1 if problem == "strip" else 2)
