@@ -3,8 +3,9 @@
 Folding lower-cases, maps homoglyphs to Latin letters and digit substitutions to the letters
 they stand for, so "1d1оt" and "idiot" are one term. The lexicon is learned from a bounded
 sample of labelled rows (SAMPLE, a documented parameter): terms are folded words and word
-stems of STEM letters; a greedy cover keeps the few terms that explain the toxic rows and
-are rare in the others, and each weighs its log-odds. A phrase around a term that the clean
+stems of STEMS letters. Every term of SUPPORT toxic rows is counted in both classes by one
+aggregation; those of large log-odds that chance doesn't explain are candidates, however many
+and however rare. A greedy cover picks among them, and each weighs its log-odds. A phrase around a term that the clean
 rows use and the toxic ones don't is an exception: a match inside it doesn't count.
 Scoring reads each whole text once: summed weights, and the same normalised by length, go
 through a logistic function fitted on the sample.
@@ -20,9 +21,12 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import json
 import math
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +37,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tessera.llm.common import bucket_of, materialize
 
-SAMPLE, STEMS, SUPPORT, CANDIDATES, THRESHOLD = 20_000, (3, 4, 5, 6, 7), 5, 6_000, 0.7
+SAMPLE, STEMS, SUPPORT, ODDS, DOUBT, THRESHOLD = 20_000, (3, 4, 5, 6, 7), 5, 3, 1.0, 0.7
 #: Look-alikes of Latin letters, and digits and signs written for letters.
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x"}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
@@ -53,72 +57,91 @@ def terms(text: str) -> set[str]:
     return {w for w in words if len(w) > 2} | {f"{w[:n]}*" for n in STEMS for w in words if len(w) > n}
 
 
-def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text with any term: its key and eight minhashes of its terms."""
+    mul = np.random.default_rng(7).integers(1, 1 << 61, 8, dtype=np.uint64) | np.uint64(1)
+    for b in batches:
+        keys, prints = [], []
+        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            h = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in terms(text)], np.uint64)
+            if len(h):
+                h = (h[:, None] + np.uint64(1)) * mul
+                h ^= h >> np.uint64(29)
+                keys.append(key)
+                prints.append((h * mul).min(axis=0).view(np.int64).tolist())
+        yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(prints, pa.list_(pa.int64()))], names=["key", "prints"])
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many clean and toxic rows of a batch hold each term."""
     for b in batches:
-        for text in b.column(0).to_pylist():
-            yield pa.record_batch([pa.array(sorted(terms(text)), pa.string())], names=["term"])
+        out: tuple[Counter, Counter] = Counter(), Counter()
+        for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            out[bool(toxic)].update(terms(text))
+        names = list(out[0] | out[1])
+        yield pa.record_batch([pa.array(names, pa.string()), *(pa.array([o[t] for t in names], pa.int64()) for o in out)], names=["term", "clean", "toxic"])
 
 
 def _incidence(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Toxic rows: their candidates. Others: one row a batch, how many hold each."""
+    """The terms of the list that each row holds."""
     at = {t: i for i, t in enumerate(names)}
     for b in batches:
-        hits, clean, n = [], np.zeros(len(names), np.int64), 0
-        for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            found = [at[t] for t in terms(text) if t in at]
-            if toxic:
-                hits.append(sorted(found))
-            else:
-                clean[found] += 1
-                n += 1
-        yield pa.record_batch([pa.array([1] * len(hits) + [0], pa.int32()), pa.array([*hits, clean.tolist()], pa.list_(pa.int64())), pa.array([1] * len(hits) + [n], pa.int64())], names=["toxic", "hits", "n"])
-
-
-def _distinct(rows: list[list[int]]) -> list[list[int]]:
-    """Rows without those whose candidates are nearly a former row's (half of eight minhashes agree): copies are no further evidence."""
-    kept, seen = [], {}
-    mul = np.random.default_rng(7).integers(1, 1 << 61, 8, dtype=np.uint64) | np.uint64(1)
-    for r in rows:
-        if not r:
-            continue
-        h = (np.asarray(r, np.uint64)[:, None] + np.uint64(1)) * mul
-        h ^= h >> np.uint64(29)
+        hits = [sorted(at[t] for t in terms(text) if t in at) for text in b.column(0).to_pylist()]
+        yield pa.record_batch([pa.array(hits, pa.list_(pa.int64()))], names=["hits"])
+
+
+def _distinct(prints: list[tuple[int, list[int]]]) -> list[int]:
+    """Keys of rows without those whose terms are nearly a former row's (half of eight minhashes agree): copies are no further evidence."""
+    kept: list[int] = []
+    seen: dict[tuple, list[int]] = {}
+    for key, row in sorted(prints):
         votes: dict[int, int] = {}
-        keys = list(enumerate((h * mul).min(axis=0).tolist()))
-        for k in keys:
+        places = list(enumerate(row))
+        for k in places:
             for d in seen.get(k, ()):
                 votes[d] = votes.get(d, 0) + 1
         if max(votes.values(), default=0) < 4:
-            for k in keys:
-                seen.setdefault(k, []).append(len(kept))
-            kept.append(r)
+            for k in places:
+                seen.setdefault(k, []).append(key)
+            kept.append(key)
     return kept
 
 
-def _cover(rows: list[list[int]], clean: np.ndarray, n_clean: int, names: list[str]) -> dict[str, float]:
-    """Greedy cover: terms of large log-odds until each toxic row holds three of them, if it can."""
-    rows = _distinct(rows)
-    n = len(rows)
-    toxic = np.bincount(np.concatenate([np.asarray(r, np.int64) for r in rows]) if rows else [], minlength=len(names))
-    odds = np.log((toxic + 0.5) / (n + 1)) - np.log((clean + 0.5) / (n_clean + 1))
-    usable = (toxic >= max(SUPPORT, 0.004 * n)) & (odds >= 3)
-    need, least, chosen = np.full(n, 3), max(4, 0.01 * n), {}
-    holds = [[i for i in r if usable[i]] for r in rows]
-    by = {}
-    for d, r in enumerate(holds):
+def _passing(counted: DataFrame, n: int, n_clean: int) -> list:
+    """Terms of n toxic and n_clean clean rows whose odds are large and significant: (term, odds).
+
+    The chance that rows picked blindly put so many of a term's rows among the toxic ones is
+    at most exp(-evidence) (Hoeffding's bound); times the number of terms tested, as many terms
+    may be expected to pass by chance: DOUBT of them at most.
+    """
+    tested = counted.count()
+    t, c, share = F.col("toxic"), F.col("clean"), n / (n + n_clean)
+    evidence = t * F.log(t / (t + c) / share) + F.when(c > 0, c * F.log(c / (t + c) / (1 - share))).otherwise(0.0)
+    odds = F.log((t + 0.5) / (n + 1)) - F.log((c + 0.5) / (n_clean + 1))
+    return counted.select("term", odds.alias("odds")).where((odds >= ODDS) & (evidence >= math.log(max(1, tested) / DOUBT))).orderBy("term").collect()
+
+
+def _cover(rows: list[list[int]], odds: list[float], names: list[str]) -> dict[str, float]:
+    """Greedy cover, names in order: terms until each toxic row holds three of them, if it can."""
+    need, chosen, by = np.full(len(rows), 3), {}, {}
+    for d, r in enumerate(rows):
         for i in r:
             by.setdefault(i, []).append(d)
     by = {i: np.array(d) for i, d in by.items()}
-    while by:
-        gain = {i: (float((need[d] > 0).sum()), len(d), names[i]) for i, d in by.items()}
-        best = max(gain, key=gain.get)
-        if gain[best][0] < least:
-            break
-        docs = by.pop(best)
-        word = names[best]
-        same = [c for c in chosen if c[: STEMS[0]] == word[: STEMS[0]]]
-        chosen[word] = float(odds[best])
-        if not same:
+    heads: set[str] = set()
+    heap = [(-len(d), -len(d), -i) for i, d in by.items()]
+    heapq.heapify(heap)
+    while heap:
+        was, size, i = heapq.heappop(heap)
+        docs, word = by[-i], names[-i]
+        gain = int((need[docs] > 0).sum())
+        if gain < -was:  # gains only fall: what is still largest is the best
+            if gain:
+                heapq.heappush(heap, (-gain, size, i))
+            continue
+        chosen[word] = odds[-i]
+        if word[: STEMS[0]] not in heads:
+            heads.add(word[: STEMS[0]])
             need[docs] -= 1
     return chosen
 
@@ -216,13 +239,21 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPL
     rows = docs.where(train).where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
     rows = materialize(rows, "toxic-sample")
     model: dict = {"terms": {}, "exceptions": [], "logit": [0, 0, 0]}
-    counted = rows.where("toxic = 1").select("text").distinct().mapInArrow(_terms, "term string").groupBy("term").agg(F.count("*").alias("n"))
-    names = [r.term for r in counted.where(f"n >= {SUPPORT}").orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()]
-    if not names:
+    once = rows.distinct().withColumn("key", F.xxhash64("text"))
+    toxic = once.where("toxic > 0")
+    kept = _distinct([(r.key, r.prints) for r in toxic.select("key", "text").mapInArrow(_prints, "key long, prints array<long>").collect()])
+    n_clean = once.where("toxic = 0").count()
+    if not kept or not n_clean:
+        return model
+    own = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in kept], "key long"))
+    seen = once.where("toxic = 0").unionByName(toxic.join(own, "key", "left_semi")).select("text", "toxic")
+    counted = seen.mapInArrow(_counts, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    passing = _passing(materialize(counted.where(F.col("toxic") >= SUPPORT), "toxic-terms"), len(kept), n_clean)
+    if not passing:
         return model
-    got = rows.distinct().mapInArrow(lambda it: _incidence(it, names), "toxic int, hits array<long>, n long").collect()
-    clean = sum((np.array(r.hits) for r in got if not r.toxic), np.zeros(len(names), np.int64))
-    model["terms"] = _cover([r.hits for r in got if r.toxic], clean, sum(r.n for r in got if not r.toxic), names)
+    names, odds = [r.term for r in passing], [r.odds for r in passing]
+    got = seen.where("toxic > 0").select("text").mapInArrow(lambda it: _incidence(it, names), "hits array<long>").collect()
+    model["terms"] = _cover([r.hits for r in got], odds, names)
     text = json.dumps(model)
     around = rows.mapInArrow(lambda it: _around(it, text), "phrase string, clean long, toxic long").groupBy("phrase").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     spared = around.where("clean >= 5 and clean > 20 * toxic").orderBy(F.desc("clean"), "phrase").limit(500).collect()

@@ -321,3 +321,13 @@ def test_mixing_salted_groups(spark, monkeypatch):
     docs = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise("b").alias("source"), F.lit("a b c").alias("text"))
     got = op10_mixing.mix(docs, ["doc_id", "source"]).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("w"), F.max("copies").alias("m")).collect()
     assert all(abs(r.t - r.w) <= 3 and r.m <= 2 for r in got)
+
+
+def test_toxicity_learns_rare_terms(spark):
+    r = random.Random(4)
+    plain = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9))) for _ in range(4000)]
+    texts = [(i, " ".join(r.choices(plain, k=8)) + (f" mistkerl{' schandmaul' if i % 120 == 0 else ''}" if i < 720 else "")) for i in range(7200)]
+    docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(i, int(i < 720)) for i, _ in texts], "doc_id long, toxic int")
+    found = op2_toxicity.learn(docs, labels, F.lit(True))["terms"]
+    assert "mistkerl" in found and "schandmaul" in found
+    assert not {t for t in found if not "mistkerl".startswith(t.rstrip("*")) and not "schandmaul".startswith(t.rstrip("*"))}
