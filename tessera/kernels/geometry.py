@@ -73,6 +73,20 @@ def surrogate(ring: np.ndarray, most: int = 10, coverage: float = 0.9) -> np.nda
     return np.array(circles).reshape(-1, 3)
 
 
+def poles(ring: np.ndarray, limits: tuple[tuple[int, float], ...]) -> np.ndarray:
+    """Poles until there are as many as the least limit (number, share) whose share they cover more than."""
+    circles, whole, covered = [], abs(area(ring)), 0.0
+    while True:
+        c = pole(ring, np.array(circles) if circles else None)
+        if c[2] <= 1e-9:
+            break
+        circles.append(c)
+        covered += math.pi * c[2] ** 2
+        if len(circles) >= min((n for n, share in limits if covered > share * whole), default=1000):
+            break
+    return np.array(circles).reshape(-1, 3)
+
+
 def hull(points: np.ndarray) -> np.ndarray:
     """Convex hull, counter-clockwise from the lowest left point."""
     p = sorted(set(map(tuple, points.tolist())))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.config import Surrogate
 from tessera.kernels import geometry as G
 from tessera.kernels import repair as Q
 from tessera.kernels import search as K
@@ -26,8 +27,8 @@ def per_ring(rows: DataFrame, schema: str, fn: Callable[[int, np.ndarray], list[
     return rows.select("id", "ring").mapInPandas(run, schema)
 
 
-def poles(rows: DataFrame, most: int = 3) -> DataFrame:
-    return per_ring(rows, "id long, k int, cx double, cy double, r double", lambda i, v: [(i, k, *c) for k, c in enumerate(G.surrogate(v, most).tolist())])
+def poles(rows: DataFrame, limits: tuple = Surrogate.pole_limits) -> DataFrame:
+    return per_ring(rows, "id long, k int, cx double, cy double, r double", lambda i, v: [(i, k, *c) for k, c in enumerate(G.poles(v, limits).tolist())])
 
 
 def simplified(rows: DataFrame, share: float = 0.05) -> DataFrame:
@@ -55,11 +56,11 @@ def without_bays(rows: DataFrame, reach: float, share: float) -> DataFrame:
     return per_ring(rows, "id long, before int, after int, area double, area_after double", lambda i, v: [(i, len(v), len(q := Q.close_bays(v, reach, share)), G.area(v), G.area(q))])
 
 
-def surrogates(rows: DataFrame, most: int = 3, n_piers: int = 2) -> DataFrame:
+def surrogates(rows: DataFrame, limits: tuple = Surrogate.pole_limits, n_piers: int = 2) -> DataFrame:
     """Poles (kind 0: centre and radius) and piers (kind 1: two ends) of every ring."""
 
     def one(i, v):
-        poles = G.surrogate(v, most)
+        poles = G.poles(v, limits)
         return [(i, 0, k, *c, 0.0) for k, c in enumerate(poles.tolist())] + [(i, 1, k, *e) for k, e in enumerate(Q.piers(v, n_piers, poles).tolist())]
 
     return per_ring(rows, "id long, kind int, k int, a double, b double, c double, d double", one)

@@ -203,3 +203,16 @@ def test_layout_changes(spark):
     b = layouts.place(layouts.remove(a, spark.createDataFrame([(1, 2)], "sheet long, id long")), spark.createDataFrame([(3, 1, 9)], "sheet long, id long, item long"))
     gone, added = layouts.changes(a, b)
     assert layouts.same(layouts.place(layouts.remove(b, added.select("sheet", "id")), gone), a)
+
+
+def test_poles_go_on_to_their_limits(spark):
+    rings = {1: [(0, 0), (30, 0), (30, 4), (4, 4), (4, 30), (0, 30)], 2: [(0, 0), (10, 0), (10, 10), (0, 10)]}
+    rows = spark.createDataFrame([(i, [(float(x), float(y)) for x, y in r]) for i, r in rings.items()], "id long, ring array<struct<x:double,y:double>>")
+    got = OK.poles(rows).toPandas()
+    for i, r in rings.items():
+        radii = got[got["id"] == i].sort_values("k")["r"].to_numpy()
+        share = np.pi * np.cumsum(radii**2) / G.area(np.array(r, float))
+        due = [min(n for n, least in ((100, 0.0), (20, 0.75), (10, 0.9)) if s > least) for s in share]
+        assert len(radii) >= due[-1] and all(k + 1 < d for k, d in enumerate(due[:-1]))
+    kinds = OK.surrogates(rows).toPandas()
+    assert (kinds[kinds["kind"] == 0].groupby("id").size() == got.groupby("id").size()).all()
