@@ -39,10 +39,11 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏΑ-ΡΣ-ωА-я‘-”…]")
 
 _loaded: dict[str, tuple] = {}
+_added: dict[str, tuple[str, ...]] = {}
 
 
 def tokenizer(vocabulary: str):
-    """texts -> lists of ids of the byte-level vocabulary <vocabulary>.json; the rank file beside it, same ids, is faster on plain texts."""
+    """texts -> lists of ids of the byte-level vocabulary <vocabulary>.json; the rank file beside it, same ids, is faster on plain texts that hold no added token."""
     if vocabulary not in _loaded:
         import base64
 
@@ -51,19 +52,20 @@ def tokenizer(vocabulary: str):
         from tokenizers import Tokenizer
 
         exact = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-        exact.encode_special_tokens = True
+        added = {i: t.content for i, t in exact.get_added_tokens_decoder().items()}
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        ends = np.zeros(max(ranks.values()) + 2, bool)
+        ends = np.zeros(max([*ranks.values(), *added]) + 1, bool)
         ends[[i for b, i in ranks.items() if b[-1:] in b".!?\n"]] = True
         _loaded[vocabulary] = exact, fast, ends
+        _added[vocabulary] = tuple(added.values())
     return _loaded[vocabulary]
 
 
 def encode(text: str, vocabulary: str) -> np.ndarray:
     exact, fast, _ = tokenizer(vocabulary)
-    if PLAIN.search(text) or len(text) > 2000 and max(map(len, text.split(" "))) > 2000:
+    if PLAIN.search(text) or any(t in text for t in _added[vocabulary]) or len(text) > 2000 and max(map(len, text.split(" "))) > 2000:
         return np.array(exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
     return np.array(fast.encode_ordinary(text), dtype="<u4")
 

@@ -331,3 +331,13 @@ def test_toxicity_learns_rare_terms(spark):
     found = op2_toxicity.learn(docs, labels, F.lit(True))["terms"]
     assert "mistkerl" in found and "schandmaul" in found
     assert not {t for t in found if not "mistkerl".startswith(t.rstrip("*")) and not "schandmaul".startswith(t.rstrip("*"))}
+
+
+def test_tokens_of_added_strings():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for t in ("a <|endoftext|> b", "<|endoftext|>", "a <|endoftext| > b", "漢 <|endoftext|>"):
+        assert op1_packing.encode(t, "byte_bpe_50k").tolist() == plain.encode(t, add_special_tokens=False).ids
+    assert op1_packing.encode("a <|endoftext|> b", "byte_bpe_50k").tolist() == [64, 220, 50256, 275]
