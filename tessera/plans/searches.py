@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.config import Search
 from tessera.operators import kernels as K
 from tessera.plans.views import ctes, view
 
 
+#: The reference's samples per item and layout.
+SAMPLES = Search.samples
+
+
 def pole(s, d):
     return K.poles(view(s, d, "g_poly"))
 
@@ -36,11 +41,11 @@ def shelf_pack(s, d):
 
 
 def lbf_bin(s, d):
-    return K.fill_bins(_requests(s, d), [(1, 60.0, 40.0, 2), (2, 90.0, 60.0, 99)], 1.0, samples=60)
+    return K.fill_bins(_requests(s, d), [(1, 60.0, 40.0, 2), (2, 90.0, 60.0, 99)], 1.0, samples=SAMPLES)
 
 
 def lbf_strip(s, d):
-    return K.fill_strips(_requests(s, d), 60.0, 1.0, samples=60)
+    return K.fill_strips(_requests(s, d), 60.0, 1.0, samples=SAMPLES)
 
 
 def rect_offcuts(s, d):

@@ -216,3 +216,15 @@ def test_poles_go_on_to_their_limits(spark):
         assert len(radii) >= due[-1] and all(k + 1 < d for k, d in enumerate(due[:-1]))
     kinds = OK.surrogates(rows).toPandas()
     assert (kinds[kinds["kind"] == 0].groupby("id").size() == got.groupby("id").size()).all()
+
+
+def test_fill_queries_take_the_full_samples(monkeypatch):
+    from tessera.plans import searches
+
+    taken = []
+    monkeypatch.setattr(searches, "_requests", lambda s, d: None)
+    for name in ("fill_bins", "fill_strips"):
+        monkeypatch.setattr(searches.K, name, lambda *a, samples=200, **k: taken.append(samples))
+    searches.lbf_bin(None, None)
+    searches.lbf_strip(None, None)
+    assert taken == [5000, 5000]
