@@ -35,7 +35,7 @@ TOKEN = re.compile(r"[^\W\d_]+")
 def features(word: str, lexicon: dict[str, list[int]]) -> list[int]:
     w = f"^{word}$"
     keys = [w, *(f"p{word[:n]}" for n in (1, 2, 3) if len(word) >= n), *(f"s{word[-n:]}" for n in (1, 2, 3) if len(word) >= n)]
-    keys += [w[i : i + 2] for i in range(min(len(w) - 1, 40))]
+    keys += [w[i : i + 2] for i in range(len(w) - 1)]
     return [BUCKETS] + [zlib.crc32(k.encode("utf-8", "replace")) % BUCKETS for k in keys] + [BUCKETS + 1 + i for i in lexicon.get(word, ())]
 
 

@@ -341,3 +341,7 @@ def test_tokens_of_added_strings():
     for t in ("a <|endoftext|> b", "<|endoftext|>", "a <|endoftext| > b", "漢 <|endoftext|>"):
         assert op1_packing.encode(t, "byte_bpe_50k").tolist() == plain.encode(t, add_special_tokens=False).ids
     assert op1_packing.encode("a <|endoftext|> b", "byte_bpe_50k").tolist() == [64, 220, 50256, 275]
+
+
+def test_language_reads_whole_runs():
+    assert op8_language.features("a" * 60 + "qz" + "a" * 10, {}) != op8_language.features("a" * 60 + "zq" + "a" * 10, {})
