@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 
 #: A word of a text, as the contracts of the operators have it.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of one key that one task of a join may get.
+HOT = 10_000
 
 _made: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a local one only in local mode, where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = getattr(scratch_root, "local", None)
         if not root:
             root = scratch_root.local = tempfile.mkdtemp(prefix="tessera-")
@@ -54,6 +58,19 @@ def bucket_of(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def hot_join(rows: DataFrame, keyed: DataFrame, keys: list[str], n: str, how: str = "inner", hot: int = HOT) -> DataFrame:
+    """rows join keyed (one row a key; n: how many rows have the key) with keys of over hot rows dealt to several tasks.
+
+    The keys of more than hot rows, at most len(rows) / hot of them, are looked up first; Spark
+    broadcasts that list if its size allows. Their rows are dealt by position, and keyed has a
+    copy of such a key's row for each part.
+    """
+    large = keyed.where(F.col(n) > hot).select(*keys, F.ceil(F.col(n) / hot).cast("int").alias("_parts"))
+    dealt = rows.join(large, keys, "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copies = keyed.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col(n) / hot).cast("int"), F.lit(1)) - 1)))
+    return dealt.join(copies, [*keys, "_part"], how).drop("_part")
+
+
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """edges (a, b) of one orderable type -> (node, component): the smallest node reachable, for every node of an edge.
 
@@ -70,11 +87,11 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
             break
         last = (n, mark)
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        star = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        star = hot_join(both, low, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         star = star.distinct()
-        low = star.groupBy("u").agg(F.min("v").alias("m"))
-        small = star.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        low = star.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = hot_join(star, low, ["u"], "n").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         cur = materialize(small, name)
     roots = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return roots.union(cur.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
