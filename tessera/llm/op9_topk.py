@@ -1,29 +1,40 @@
 """Exact top-k search by a pivot-distance index.
 
-Score is the integer inner product of floor(64 x). It is turned into a distance by one more
-component: with M at least every norm, x' = (x, sqrt(M^2 - |x|^2)) and q' = (q, 0) give
-|q' - x'|^2 = |q|^2 + M^2 - 2 <q, x>, so the largest products are the nearest points. The
-index keys each vector by its nearest pivot (PIVOTS rows drawn by hash: a fixed number) and
-its distance to it, and is range-partitioned in that order into shards of sorted annuli. By
-the triangle inequality a point in an annulus [lo, hi] of pivot p is no nearer to q' than
-max(d(q', p) - hi, lo - d(q', p)), which bounds its score. A query expands annuli by falling
-bound and stops when the bound is below its k-th score so far; its first k-th score comes
-from the pivots themselves. Products are exact.
-
-Every shard meets every block of queries (a stated query set against all rows, in blocks);
-a group holds one shard and one block, so memory is bounded, and returns at most k rows a
-query. Every row is indexed and every bound is rigorous: recall is 1.
-
-Defined cases: vectors that are null, empty, or hold null or non-finite components take no
-part, nor do rows with null vec_id; lengths that differ are filled with zeros; ties go to
-the smaller vec_id, repeated rows are rows of their own and equal ids are the query's own
-row and no candidates of it; an empty table gives no rows; extra columns are ignored.
+Score is the integer inner product of floor(64 x). Vectors are centred on c (a fixed integer
+vector: for one query that takes the same <q, c> off every score) and turned into points by
+one more component: with M at least every |x - c|, x' = (x - c, sqrt(M^2 - |x - c|^2)) and
+q' = (l q, 0), l = M / |q|, give |q' - x'|^2 = 2 M^2 - 2 l <q, x - c>, so the largest products
+are the nearest points. The index keys each vector by its nearest pivot and its distance to
+it, and is range-partitioned in that order into shards of sorted annuli. c and the PIVOTS
+pivots are fitted on a bounded sample of SAMPLE rows; every row is indexed.
+
+A query first searches the shard that it lies in itself; its k-th score there is a floor.
+By the triangle inequality a point in an annulus [lo, hi] of pivot p is no nearer to q' than
+max(d(q', p) - hi, lo - d(q', p)), which bounds its score. A query goes on only to shards one
+of whose annuli may reach its floor: that is decided on the annuli's ranges (one row for each
+shard and pivot; SHARD grows so that MOST shards suffice, which bounds what each task gets of
+them), before any vector is sent. Inside a shard it expands annuli by falling bound and stops
+when the bound is below its k-th score so far. Shards without a query left are not sent, the
+others once for each BLOCK queries. Every bound is rigorous: recall is 1. Where vectors have
+no clusters, as random ones in 64 dimensions, no bound can stop anything: then all shards are
+searched, in blocks.
+
+Products are exact: in double precision as long as they are below 2^51, else pairs that the
+rounded product leaves possibly among the best are computed again in Python's integers.
+
+Defined cases: vectors that are null, empty, or hold components that are null or not finite
+(64 times the component included) take no part, nor do rows with null vec_id; lengths that
+differ are filled with zeros; ties go to the smaller vec_id; repeated rows are candidates of
+their own, but rows of one vec_id ask once (that of the least vector) and equal ids are the
+query's own row and no candidates of it; scores beyond a long stay at its ends; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +43,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
 
-K, PIVOTS, SHARD, BLOCK, ANNULUS = 20, 64, 16_384, 2_048, 512
+K, PIVOTS, SAMPLE, SHARD, BLOCK, ANNULUS, MOST = 20, 64, 2_048, 16_384, 2_048, 256, 1 << 18
+LONG = (-(1 << 63), (1 << 63) - 1)
 
 
-def _dense(column, dim: int) -> np.ndarray:
+def dense(column, dim: int) -> np.ndarray:
     rows = column.to_numpy(zero_copy_only=False)
     out = np.zeros((len(rows), dim))
     for i, r in enumerate(rows):
@@ -43,104 +55,201 @@ def _dense(column, dim: int) -> np.ndarray:
     return out
 
 
-def best(ids: np.ndarray, x: np.ndarray, pivot: np.ndarray, dist: np.ndarray, qid: np.ndarray, q: np.ndarray, floor: np.ndarray, pivots: np.ndarray, top: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+class Space(NamedTuple):
+    """What turns vectors into points. unit: a power of two that no component exceeds by much, so that nothing overflows."""
+
+    centre: np.ndarray
+    pivots: np.ndarray  # with the added component
+    top: float  # M, in units
+    unit: float
+    exact: bool  # double precision holds all products
+
+    def points(self, v: np.ndarray) -> np.ndarray:
+        x = v / self.unit - self.centre / self.unit
+        return np.column_stack([x, np.sqrt(np.maximum(self.top**2 - (x * x).sum(axis=1), 0))])
+
+    def distances(self, points: np.ndarray) -> np.ndarray:
+        p = self.pivots
+        return np.sqrt(np.maximum((points * points).sum(axis=1)[:, None] + (p * p).sum(axis=1) - 2 * points @ p.T, 0))
+
+    def asked(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of queries: distances to the pivots, l, |q'|^2 and <q, c>, in units."""
+        q = q / self.unit
+        norm = np.sqrt((q * q).sum(axis=1))
+        l = np.where(norm > 0, self.top / np.where(norm > 0, norm, 1), 1.0)
+        l = np.where(l > 0, l, 1.0)
+        p = np.column_stack([q * l[:, None], np.zeros(len(q))])
+        return self.distances(p), l, (l * norm) ** 2, q @ (self.centre / self.unit)
+
+    def bounds(self, asked: tuple, pivot: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """[queries, annuli]: no score of an annulus is above, in units^2."""
+        d, l, norm, shift = asked
+        far = d[:, pivot]
+        slack = 1e-6 * (far + self.top)
+        near = np.maximum(np.maximum(far - hi, lo - far) - slack, 0)
+        return ((norm[:, None] + self.top**2 - near * near) / (2 * l[:, None]) + shift[:, None]) + 1e-9 * (norm[:, None] + self.top**2) / l[:, None] + 1e-9 * np.abs(shift)[:, None]
+
+
+def scores(space: Space, q: np.ndarray, x: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Exact scores [queries, rows] as longs; those sure to be below least may be LONG[0]."""
+    if space.exact:
+        return (q @ x.T).astype(np.int64)
+    out = np.full((len(q), len(x)), LONG[0], np.int64)
+    qs, xs = q / space.unit, x / space.unit
+    p = qs @ xs.T
+    err = (q.shape[1] + 4) * 2.0**-52 * np.sqrt((qs * qs).sum(axis=1))[:, None] * np.sqrt((xs * xs).sum(axis=1)) + 2.0**-900
+    with np.errstate(over="ignore"):
+        floor = least.astype(np.float64) / space.unit / space.unit
+    rows, cols = np.nonzero(p + err >= floor[:, None] - np.abs(floor)[:, None] * 2.0**-50)
+    whole = {}
+    for i, j in zip(rows.tolist(), cols.tolist(), strict=True):
+        a, b = (whole.setdefault((s, k), [int(c) for c in m[k]]) for s, m, k in (("q", q, i), ("x", x, j)))
+        out[i, j] = max(LONG[0], min(LONG[1], sum(map(int.__mul__, a, b))))
+    return out
+
+
+def best(space: Space, ids: np.ndarray, x: np.ndarray, pivot: np.ndarray, dist: np.ndarray, qid: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Query row, id and score of the k best of one shard, sorted by (pivot, dist); floor: a score that k rows are known to reach. Last: products made."""
-    dq = np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] + top - 2 * (q @ pivots.T), 0))
     new = np.flatnonzero(np.concatenate(([True], pivot[1:] != pivot[:-1])))
-    cuts = sorted({*new.tolist(), *(c for s, e in zip(new, [*new[1:], len(x)], strict=True) for c in range(s, e, ANNULUS)), len(x)})
-    spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-    norm = (q * q).sum(axis=1) + top
-    bound = np.empty((len(q), len(spans)))
-    for c, (s, e) in enumerate(spans):
-        d = dq[:, pivot[s]]
-        near = np.maximum(np.maximum(d - dist[e - 1], dist[s] - d), 0)
-        bound[:, c] = (norm - near * near) / 2 + 1e-6 * (norm + 1)
-    kth, made = floor.copy(), 0
-    score = np.full((len(q), k), -np.inf)
-    ident = np.full((len(q), k), np.iinfo(np.int64).max)
-    for c in np.argsort(-bound.max(axis=0), kind="stable"):
-        s, e = spans[c]
-        live = np.flatnonzero(bound[:, c] >= kth)
+    cuts = np.array(sorted({*new.tolist(), *(c for s, e in zip(new, [*new[1:], len(x)], strict=True) for c in range(s, e, ANNULUS)), len(x)}))
+    start, stop = cuts[:-1], cuts[1:]
+    bound = space.bounds(space.asked(q), pivot[start], dist[start], dist[stop - 1])
+    order = np.argsort(-bound, axis=1, kind="stable")
+    score, ident = np.full((len(q), k), LONG[0], np.int64), np.full((len(q), k), LONG[1], np.int64)
+    known, kth, made = np.zeros((len(q), k), bool), floor.astype(np.int64), 0
+    for c in range(len(start)):
+        span = order[:, c]
+        live = np.flatnonzero(bound[np.arange(len(q)), span] >= kth / space.unit / space.unit - 1e-9 * np.abs(kth / space.unit / space.unit))
         if not len(live):
-            continue
-        made += len(live) * (e - s)
-        p = q[live] @ x[s:e].T
-        p[ids[None, s:e] == qid[live, None]] = -np.inf
-        ok = (p >= kth[live, None]) & (p > -np.inf)
-        ok &= (p > score[live, -1:]) | (ids[None, s:e] < ident[live, -1:])
-        some = np.flatnonzero(ok.any(axis=1))
-        if not len(some):
-            continue
-        rows = live[some]
-        all_s = np.concatenate([score[rows], np.where(ok[some], p[some], -np.inf)], axis=1)
-        all_i = np.concatenate([ident[rows], np.where(ok[some], ids[None, s:e], np.iinfo(np.int64).max)], axis=1)
-        order = np.lexsort((all_i, -all_s), axis=1)[:, :k]
-        score[rows], ident[rows] = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)
-        kth[rows] = np.maximum(kth[rows], score[rows, -1])
-    r, c = np.nonzero(score > -np.inf)
+            break
+        for s in np.unique(span[live]):
+            rows, cut = live[span[live] == s], slice(start[s], stop[s])
+            made += len(rows) * (stop[s] - start[s])
+            p = scores(space, q[rows], x[cut], kth[rows])
+            ok = (ids[None, cut] != qid[rows, None]) & (p >= kth[rows, None])
+            some = np.flatnonzero(ok.any(axis=1))
+            if not len(some):
+                continue
+            rows = rows[some]
+            all_k = np.concatenate([known[rows], ok[some]], axis=1)
+            all_s = np.concatenate([score[rows], p[some]], axis=1)
+            all_i = np.concatenate([ident[rows], np.broadcast_to(ids[None, cut], ok.shape)[some]], axis=1)
+            take = np.lexsort((all_i, ~all_s, ~all_k), axis=1)[:, :k]
+            known[rows], score[rows], ident[rows] = (np.take_along_axis(a, take, 1) for a in (all_k, all_s, all_i))
+            full = rows[known[rows, -1]]
+            kth[full] = np.maximum(kth[full], score[full, -1])
+    r, c = np.nonzero(known)
     return r, ident[r, c], score[r, c], made
 
 
-def _search(batches: Iterator[pa.RecordBatch], pivots: list, top: float, dim: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, own, pivot, dist, id, v, floor) sorted by key, own, pivot, dist, id."""
-    piv, held, last = np.array(pivots, float).reshape(len(pivots), dim), [], None
+def _search(batches: Iterator[pa.RecordBatch], space: Space, dim: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, block, own, pivot, dist, id, v, floor) sorted by shard, block, own, pivot, dist, id."""
+    held, last = [], None
 
-    def work(t: pa.Table):
+    def work():
+        t = pa.Table.from_batches(held)
         own = t["own"].to_numpy()
         n = int((own == 0).sum())
         if n and n < len(own):
-            ids, v = t["id"].to_numpy(), _dense(t["v"].combine_chunks(), dim)
-            r, i, s, _ = best(ids[:n], v[:n], t["pivot"].to_numpy()[:n], t["dist"].to_numpy()[:n], ids[n:], v[n:], t["floor"].to_numpy()[n:], piv, top, k)
+            ids, v = t["id"].to_numpy(), dense(t["v"].combine_chunks(), dim)
+            r, i, s, _ = best(space, ids[:n], v[:n], t["pivot"].to_numpy()[:n], t["dist"].to_numpy()[:n], ids[n:], v[n:], t["floor"].to_numpy()[n:], k)
             if len(r):
-                yield pa.record_batch([pa.array(ids[n:][r]), pa.array(i), pa.array(np.rint(s).astype(np.int64))], names=["query_id", "vec_id", "score"])
+                yield pa.record_batch([pa.array(ids[n:][r]), pa.array(i), pa.array(s)], names=["query_id", "vec_id", "score"])
 
     for batch in batches:
-        key = batch.column(0).to_numpy()
-        for s, e in zip(c := [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()], [*c[1:], len(key)], strict=True):
-            if held and key[s] != last:
-                yield from work(pa.Table.from_batches(held))
-                held = []
-            held.append(batch.slice(s, e - s))
-            last = key[s]
+        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = [0, *(np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1).tolist(), len(a)]
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if s < e:
+                if held and (a[s], b[s]) != last:
+                    yield from work()
+                    held = []
+                held.append(batch.slice(s, e - s))
+                last = (a[s], b[s])
     if held:
-        yield from work(pa.Table.from_batches(held))
+        yield from work()
+
+
+def fit(rows: DataFrame, dim: int, sample: int = SAMPLE) -> Space:
+    """rows: (id, v). Centre and pivots of a sample by rounds of k-means; the radius covers all rows."""
+    drawn = rows.select("id", "v").orderBy(F.xxhash64("id", F.lit(3)), "id").limit(sample)
+    x = np.array([list(r.v) + [0.0] * (dim - len(r.v)) for r in drawn.collect()])
+    most = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, c: F.greatest(a, F.abs(c)))), F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))).first()
+    unit = 2.0 ** max(0, math.frexp(most[0])[1] - 400)
+    centre = np.rint((x / unit).mean(axis=0)) * unit
+    gap = F.zip_with(F.col("v"), F.array(*[F.lit(float(c)) for c in centre]), lambda a, c: F.coalesce(a, F.lit(0.0)) / unit - c / unit)
+    top = math.sqrt(rows.agg(F.max(F.aggregate(gap, F.lit(0.0), lambda a, c: a + c * c))).first()[0]) * (1 + 1e-9)
+    space = Space(centre, np.zeros((0, dim + 1)), top, unit, most[1] < 2.0**51)
+    p = space.points(x)
+    pivots = p[:: max(1, len(p) // PIVOTS)][:PIVOTS]
+    for _ in range(8):
+        near = space._replace(pivots=pivots).distances(p).argmin(axis=1)
+        pivots = np.array([p[near == i].mean(axis=0) if (near == i).any() else pivots[i] for i in range(len(pivots))])
+    return space._replace(pivots=pivots)
+
+
+def build(rows: DataFrame, space: Space, dim: int, n: int, shard: int = SHARD) -> DataFrame:
+    """rows (id, v, asks) -> a written table with pivot, dist and shard of each."""
+
+    def keyed(batches):
+        for b in batches:
+            d = space.distances(space.points(dense(b.column(1), dim)))
+            near = d.argmin(axis=1)
+            yield pa.record_batch([*b.columns, pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near])], names=["id", "v", "asks", "pivot", "dist"])
+
+    index = rows.select("id", "v", "asks").mapInArrow(keyed, "id long, v array<double>, asks boolean, pivot int, dist double")
+    return materialize(index.repartitionByRange(math.ceil(n / max(shard, n / MOST)), "pivot", "dist", "id").withColumn("shard", F.spark_partition_id()), "topk-index")
+
+
+def reach(asked: DataFrame, index: DataFrame, space: Space, dim: int) -> DataFrame:
+    """asked (id, v, home, floor) -> a row for every other shard that may reach a query's floor."""
+    ranges = index.groupBy("shard", "pivot").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi")).orderBy("shard", "pivot").toPandas()
+    shard, pivot, lo, hi = (ranges[c].to_numpy() for c in ("shard", "pivot", "lo", "hi"))
+
+    def run(batches):
+        for b in batches:
+            home, floor = b.column(2).to_numpy(), b.column(3).to_numpy()
+            for k in range(0, b.num_rows, 64):
+                part = b.slice(k, 64)
+                f = floor[k : k + 64] / space.unit / space.unit
+                bound = space.bounds(space.asked(dense(part.column(1), dim)), pivot, lo, hi)
+                q, r = np.nonzero((bound >= (f - 1e-9 * np.abs(f))[:, None]) & (shard[None, :] != home[k : k + 64, None]))
+                if len(q):
+                    pairs = np.unique(np.column_stack([q, shard[r]]), axis=0)
+                    t = pa.Table.from_batches([part]).take(pa.array(pairs[:, 0]))
+                    yield from pa.table({"shard": pa.array(pairs[:, 1].astype(np.int32)), "id": t["id"], "v": t["v"], "floor": t["floor"]}).to_batches()
+
+    return asked.select("id", "v", "home", "floor").mapInArrow(run, "shard int, id long, v array<double>, floor long")
+
+
+def _meet(index: DataFrame, asked: DataFrame, space: Space, dim: int, k: int, block: int) -> DataFrame:
+    """asked (shard, id, v, floor): finds of each query in its shard."""
+    blocks = asked.groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    held = index.join(blocks, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("own"), "pivot", "dist", "id", "v", F.lit(0).cast("long").alias("floor"))
+    own = asked.join(blocks, "shard").select("shard", F.pmod(F.xxhash64("id", F.lit(5)), "blocks").cast("int").alias("block"), F.lit(1).alias("own"), F.lit(0).alias("pivot"), F.lit(0.0).alias("dist"), "id", "v", "floor")
+    both = held.unionByName(own).repartition("shard", "block").sortWithinPartitions("shard", "block", "own", "pivot", "dist", "id")
+    return both.mapInArrow(lambda it: _search(it, space, dim, k), "query_id long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, queries: Column | None = None, k: int = K, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score. queries: a condition on vec_id of the rows that ask."""
     asks = F.col("vec_id") % 20 == 0 if queries is None else queries
-    finite = F.forall("embedding", lambda x: F.coalesce((F.abs(x) < float("inf")) & ~F.isnan(x), F.lit(False)))
+    finite = F.forall("embedding", lambda x: F.coalesce((F.abs(x.cast("double") * 64) < float("inf")) & ~F.isnan(x), F.lit(False)))
     rows = vectors.where("vec_id is not null and embedding is not null").where(finite & (F.size("embedding") > 0))
-    rows = rows.select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 64).cast("double")).alias("v"), F.coalesce(asks, F.lit(False)).alias("asks"))
-    rows = rows.withColumn("norm", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    n, top, dim, n_asks = rows.agg(F.count("*"), F.max("norm"), F.max(F.size("v")), F.sum(F.col("asks").cast("long"))).first()
+    # from 2^52 on a double has no fraction, and floor() to a long would stop at the ends of a long
+    whole = F.transform("embedding", lambda x: F.when(F.abs(x.cast("double") * 64) < 2.0**52, F.floor(x.cast("double") * 64).cast("double")).otherwise(x.cast("double") * 64))
+    rows = rows.select(F.col("vec_id").cast("long").alias("id"), whole.alias("v"), F.coalesce(asks, F.lit(False)).alias("asks"))
+    n, dim, n_asks = rows.agg(F.count("*"), F.max(F.size("v")), F.sum(F.col("asks").cast("long"))).first()
     if not n or not n_asks:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if top * 2 >= 2**52:
-        raise ValueError("components too large for exact products in double precision")
-    drawn = rows.select("id", "v").orderBy(F.xxhash64("id", F.lit(3)), "id").limit(PIVOTS).collect()
-    pivots = [list(r.v) + [0.0] * (dim - len(r.v)) for r in drawn]
-
-    def keyed(batches):
-        piv = np.array(pivots)
-        gap = np.sqrt(np.maximum(top - (piv * piv).sum(axis=1), 0))
-        own_id = np.array([r.id for r in drawn])
-        for b in batches:
-            v, norm, ids = _dense(b.column(1), dim), b.column(3).to_numpy(), b.column(0).to_numpy()
-            p = v @ piv.T
-            d2 = norm[:, None] + (piv * piv).sum(axis=1) - 2 * p + (np.sqrt(np.maximum(top - norm, 0))[:, None] - gap) ** 2
-            near = d2.argmin(axis=1)
-            p = np.where(own_id[None, :] == ids[:, None], -np.inf, p)
-            floor = np.sort(p, axis=1)[:, -k] if p.shape[1] >= k else np.full(len(p), -np.inf)
-            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(near.astype(np.int32)), pa.array(np.sqrt(np.maximum(d2[np.arange(len(p)), near], 0))), pa.array(floor)], names=["id", "v", "asks", "pivot", "dist", "floor"])
-
-    index = rows.mapInArrow(keyed, "id long, v array<double>, asks boolean, pivot int, dist double, floor double")
-    shards, blocks = math.ceil(n / shard), math.ceil(n_asks / block)
-    index = materialize(index.repartitionByRange(shards, "pivot", "dist", "id").withColumn("shard", F.spark_partition_id()), "topk-index")
-    held = index.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.col("shard").alias("s"), F.lit(0).alias("own"), "pivot", "dist", "id", "v", "floor")
-    asked = index.where("asks").select(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), F.lit(1).alias("own"), "pivot", "dist", "id", "v", "floor")
-    both = held.unionByName(asked).withColumn("key", F.col("b").cast("long") * shards + F.col("s"))
-    both = both.select("key", "own", "pivot", "dist", "id", "v", "floor").repartition("key").sortWithinPartitions("key", "own", "pivot", "dist", "id")
-    found = both.mapInArrow(lambda it: _search(it, pivots, top, dim, k), "query_id long, vec_id long, score long")
+    space = fit(rows, dim)
+    index = build(rows, space, dim, n, shard)
+    once = index.where("asks").groupBy("id").agg(F.min(F.struct("v", "shard")).alias("q")).select("id", "q.v", F.col("q.shard").alias("home"))
+    once = materialize(once, "topk-queries")
+    home = materialize(_meet(index, once.select(F.col("home").alias("shard"), "id", "v", F.lit(LONG[0]).alias("floor")), space, dim, k, block), "topk-home")
+    floors = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor")).where("floor is not null")
+    asked = once.join(floors, once["id"] == floors["query_id"], "left").select("id", "v", "home", F.coalesce("floor", F.lit(LONG[0])).alias("floor"))
+    rest = materialize(reach(asked, index, space, dim), "topk-reach")
+    found = home.unionByName(_meet(index, rest, space, dim, k, block))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
