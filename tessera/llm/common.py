@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: A word of a text, as the contracts of the operators have it.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one key that one task of a join may get.
-HOT = 10_000
+HOT = 1_000
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -58,13 +58,14 @@ def bucket_of(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def hot_join(rows: DataFrame, keyed: DataFrame, keys: list[str], n: str, how: str = "inner", hot: int = HOT) -> DataFrame:
+def hot_join(rows: DataFrame, keyed: DataFrame, keys: list[str], n: str, how: str = "inner", hot: int | None = None) -> DataFrame:
     """rows join keyed (one row a key; n: how many rows have the key) with keys of over hot rows dealt to several tasks.
 
     The keys of more than hot rows, at most len(rows) / hot of them, are looked up first; Spark
     broadcasts that list if its size allows. Their rows are dealt by position, and keyed has a
     copy of such a key's row for each part.
     """
+    hot = hot or HOT
     large = keyed.where(F.col(n) > hot).select(*keys, F.ceil(F.col(n) / hot).cast("int").alias("_parts"))
     dealt = rows.join(large, keys, "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
     copies = keyed.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col(n) / hot).cast("int"), F.lit(1)) - 1)))

@@ -6,9 +6,10 @@ one more component: with M at least every |x - c|, x' = (x - c, sqrt(M^2 - |x -
 q' = (l q, 0), l = M / |q|, give |q' - x'|^2 = 2 M^2 - 2 l <q, x - c>, so the largest products
 are the nearest points. The index keys each vector by its nearest pivot and its distance to
 it, and is range-partitioned in that order into shards of sorted annuli. c and the PIVOTS
-pivots are fitted on a bounded sample of SAMPLE rows; every row is indexed.
+pivots are fitted on a bounded sample of SAMPLE rows; every row is indexed. Equal vectors are
+one entry with their k + 1 least ids: ties go to the smallest ids, so no query needs more.
 
-A query first searches the shard that it lies in itself; its k-th score there is a floor.
+A query first searches the shard of its highest bound; its k-th score there is a floor.
 By the triangle inequality a point in an annulus [lo, hi] of pivot p is no nearer to q' than
 max(d(q', p) - hi, lo - d(q', p)), which bounds its score. A query goes on only to shards one
 of whose annuli may reach its floor: that is decided on the annuli's ranges (one row for each
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
 
-K, PIVOTS, SAMPLE, SHARD, BLOCK, ANNULUS, MOST = 20, 64, 2_048, 16_384, 2_048, 256, 1 << 18
+K, PIVOTS, SAMPLE, SHARD, BLOCK, ANNULUS, ROWS, MOST = 20, 64, 2_048, 16_384, 2_048, 256, 256, 1 << 18
 LONG = (-(1 << 63), (1 << 63) - 1)
 
 
@@ -108,53 +109,61 @@ def scores(space: Space, q: np.ndarray, x: np.ndarray, least: np.ndarray) -> np.
     return out
 
 
-def best(space: Space, ids: np.ndarray, x: np.ndarray, pivot: np.ndarray, dist: np.ndarray, qid: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Query row, id and score of the k best of one shard, sorted by (pivot, dist); floor: a score that k rows are known to reach. Last: products made."""
+def best(space: Space, entry: np.ndarray, ids: np.ndarray, x: np.ndarray, pivot: np.ndarray, dist: np.ndarray, qid: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Query row, id and score of the k best of one shard's vectors x, sorted by (pivot, dist).
+
+    ids, and entry, the rows of x that have them, ascend by row; floor: a score that k rows are known to reach. Last: products made.
+    """
     new = np.flatnonzero(np.concatenate(([True], pivot[1:] != pivot[:-1])))
     cuts = np.array(sorted({*new.tolist(), *(c for s, e in zip(new, [*new[1:], len(x)], strict=True) for c in range(s, e, ANNULUS)), len(x)}))
     start, stop = cuts[:-1], cuts[1:]
+    first, last = np.searchsorted(entry, start), np.searchsorted(entry, stop)
     bound = space.bounds(space.asked(q), pivot[start], dist[start], dist[stop - 1])
     order = np.argsort(-bound, axis=1, kind="stable")
     score, ident = np.full((len(q), k), LONG[0], np.int64), np.full((len(q), k), LONG[1], np.int64)
     known, kth, made = np.zeros((len(q), k), bool), floor.astype(np.int64), 0
     for c in range(len(start)):
-        span = order[:, c]
-        live = np.flatnonzero(bound[np.arange(len(q)), span] >= kth / space.unit / space.unit - 1e-9 * np.abs(kth / space.unit / space.unit))
+        span, least = order[:, c], kth / space.unit / space.unit
+        live = np.flatnonzero(bound[np.arange(len(q)), span] >= least - 1e-9 * np.abs(least))
         if not len(live):
             break
         for s in np.unique(span[live]):
-            rows, cut = live[span[live] == s], slice(start[s], stop[s])
-            made += len(rows) * (stop[s] - start[s])
-            p = scores(space, q[rows], x[cut], kth[rows])
-            ok = (ids[None, cut] != qid[rows, None]) & (p >= kth[rows, None])
-            some = np.flatnonzero(ok.any(axis=1))
-            if not len(some):
-                continue
-            rows = rows[some]
-            all_k = np.concatenate([known[rows], ok[some]], axis=1)
-            all_s = np.concatenate([score[rows], p[some]], axis=1)
-            all_i = np.concatenate([ident[rows], np.broadcast_to(ids[None, cut], ok.shape)[some]], axis=1)
-            take = np.lexsort((all_i, ~all_s, ~all_k), axis=1)[:, :k]
-            known[rows], score[rows], ident[rows] = (np.take_along_axis(a, take, 1) for a in (all_k, all_s, all_i))
-            full = rows[known[rows, -1]]
-            kth[full] = np.maximum(kth[full], score[full, -1])
+            mine = live[span[live] == s]
+            own, at = ids[first[s] : last[s]], entry[first[s] : last[s]] - start[s]
+            made += len(mine) * (stop[s] - start[s])
+            for m in range(0, len(mine), ROWS):
+                rows = mine[m : m + ROWS]
+                p = scores(space, q[rows], x[start[s] : stop[s]], kth[rows])[:, at]
+                ok = (own[None] != qid[rows, None]) & (p >= kth[rows, None])
+                some = np.flatnonzero(ok.any(axis=1))
+                if not len(some):
+                    continue
+                rows = rows[some]
+                all_k = np.concatenate([known[rows], ok[some]], axis=1)
+                all_s = np.concatenate([score[rows], p[some]], axis=1)
+                all_i = np.concatenate([ident[rows], np.broadcast_to(own[None], ok.shape)[some]], axis=1)
+                take = np.lexsort((all_i, ~all_s, ~all_k), axis=1)[:, :k]
+                known[rows], score[rows], ident[rows] = (np.take_along_axis(a, take, 1) for a in (all_k, all_s, all_i))
+                full = rows[known[rows, -1]]
+                kth[full] = np.maximum(kth[full], score[full, -1])
     r, c = np.nonzero(known)
     return r, ident[r, c], score[r, c], made
 
 
 def _search(batches: Iterator[pa.RecordBatch], space: Space, dim: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, block, own, pivot, dist, id, v, floor) sorted by shard, block, own, pivot, dist, id."""
+    """Rows (shard, block, own, pivot, dist, ids, v, floor) sorted by shard, block, own, pivot, dist."""
     held, last = [], None
 
     def work():
-        t = pa.Table.from_batches(held)
+        t = pa.Table.from_batches(held).combine_chunks()
         own = t["own"].to_numpy()
         n = int((own == 0).sum())
         if n and n < len(own):
-            ids, v = t["id"].to_numpy(), dense(t["v"].combine_chunks(), dim)
-            r, i, s, _ = best(space, ids[:n], v[:n], t["pivot"].to_numpy()[:n], t["dist"].to_numpy()[:n], ids[n:], v[n:], t["floor"].to_numpy()[n:], k)
+            ids, v = t["ids"].to_numpy(), dense(t["v"].combine_chunks(), dim)
+            entry, qid = np.repeat(np.arange(n), [len(i) for i in ids[:n]]), np.array([i[0] for i in ids[n:]])
+            r, i, s, _ = best(space, entry, np.concatenate(ids[:n]), v[:n], t["pivot"].to_numpy()[:n], t["dist"].to_numpy()[:n], qid, v[n:], t["floor"].to_numpy()[n:], k)
             if len(r):
-                yield pa.record_batch([pa.array(ids[n:][r]), pa.array(i), pa.array(s)], names=["query_id", "vec_id", "score"])
+                yield pa.record_batch([pa.array(qid[r]), pa.array(i), pa.array(s)], names=["query_id", "vec_id", "score"])
 
     for batch in batches:
         a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -170,6 +179,14 @@ def _search(batches: Iterator[pa.RecordBatch], space: Space, dim: int, k: int) -
         yield from work()
 
 
+def entries(rows: DataFrame, k: int) -> DataFrame:
+    """rows (id, v) -> a row per distinct v with its k + 1 least distinct ids, each as often as it has rows (k times at most)."""
+    each = rows.groupBy("v", "id").agg(F.count("*").alias("times"))
+    least = each.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
+    lists = least.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("id", "times"))).alias("ids"))
+    return lists.select("v", F.flatten(F.transform("ids", lambda e: F.array_repeat(e["id"], F.least(e["times"], F.lit(k)).cast("int")))).alias("ids"))
+
+
 def fit(rows: DataFrame, dim: int, sample: int = SAMPLE) -> Space:
     """rows: (id, v). Centre and pivots of a sample by rounds of k-means; the radius covers all rows."""
     drawn = rows.select("id", "v").orderBy(F.xxhash64("id", F.lit(3)), "id").limit(sample)
@@ -188,46 +205,48 @@ def fit(rows: DataFrame, dim: int, sample: int = SAMPLE) -> Space:
     return space._replace(pivots=pivots)
 
 
-def build(rows: DataFrame, space: Space, dim: int, n: int, shard: int = SHARD) -> DataFrame:
-    """rows (id, v, asks) -> a written table with pivot, dist and shard of each."""
+def build(rows: DataFrame, space: Space, dim: int, shard: int = SHARD) -> DataFrame:
+    """rows (v, ids), a written table -> a written table with pivot, dist and shard of each."""
 
     def keyed(batches):
         for b in batches:
-            d = space.distances(space.points(dense(b.column(1), dim)))
+            d = space.distances(space.points(dense(b.column(0), dim)))
             near = d.argmin(axis=1)
-            yield pa.record_batch([*b.columns, pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near])], names=["id", "v", "asks", "pivot", "dist"])
+            yield pa.record_batch([*b.columns, pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near])], names=["v", "ids", "pivot", "dist"])
 
-    index = rows.select("id", "v", "asks").mapInArrow(keyed, "id long, v array<double>, asks boolean, pivot int, dist double")
-    return materialize(index.repartitionByRange(math.ceil(n / max(shard, n / MOST)), "pivot", "dist", "id").withColumn("shard", F.spark_partition_id()), "topk-index")
+    n = rows.count()
+    index = rows.select("v", "ids").mapInArrow(keyed, "v array<double>, ids array<long>, pivot int, dist double")
+    return materialize(index.repartitionByRange(math.ceil(n / max(shard, n / MOST)), "pivot", "dist", F.element_at("ids", 1)).withColumn("shard", F.spark_partition_id()), "topk-index")
 
 
 def reach(asked: DataFrame, index: DataFrame, space: Space, dim: int) -> DataFrame:
-    """asked (id, v, home, floor) -> a row for every other shard that may reach a query's floor."""
+    """asked (id, v, home, floor) -> a row for every shard but home that may reach a query's floor; if home is null, for that of the highest bound."""
     ranges = index.groupBy("shard", "pivot").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi")).orderBy("shard", "pivot").toPandas()
     shard, pivot, lo, hi = (ranges[c].to_numpy() for c in ("shard", "pivot", "lo", "hi"))
 
     def run(batches):
         for b in batches:
-            home, floor = b.column(2).to_numpy(), b.column(3).to_numpy()
             for k in range(0, b.num_rows, 64):
                 part = b.slice(k, 64)
-                f = floor[k : k + 64] / space.unit / space.unit
+                home, floor = part.column(2).fill_null(-1).to_numpy(), part.column(3).to_numpy() / space.unit / space.unit
                 bound = space.bounds(space.asked(dense(part.column(1), dim)), pivot, lo, hi)
-                q, r = np.nonzero((bound >= (f - 1e-9 * np.abs(f))[:, None]) & (shard[None, :] != home[k : k + 64, None]))
+                live = (bound >= (floor - 1e-9 * np.abs(floor))[:, None]) & (shard[None, :] != home[:, None])
+                live &= (home >= 0)[:, None] | (np.arange(len(shard))[None, :] == bound.argmax(axis=1)[:, None])
+                q, r = np.nonzero(live)
                 if len(q):
                     pairs = np.unique(np.column_stack([q, shard[r]]), axis=0)
                     t = pa.Table.from_batches([part]).take(pa.array(pairs[:, 0]))
                     yield from pa.table({"shard": pa.array(pairs[:, 1].astype(np.int32)), "id": t["id"], "v": t["v"], "floor": t["floor"]}).to_batches()
 
-    return asked.select("id", "v", "home", "floor").mapInArrow(run, "shard int, id long, v array<double>, floor long")
+    return asked.select("id", "v", F.col("home").cast("int").alias("home"), F.col("floor").cast("long").alias("floor")).mapInArrow(run, "shard int, id long, v array<double>, floor long")
 
 
 def _meet(index: DataFrame, asked: DataFrame, space: Space, dim: int, k: int, block: int) -> DataFrame:
     """asked (shard, id, v, floor): finds of each query in its shard."""
     blocks = asked.groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    held = index.join(blocks, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("own"), "pivot", "dist", "id", "v", F.lit(0).cast("long").alias("floor"))
-    own = asked.join(blocks, "shard").select("shard", F.pmod(F.xxhash64("id", F.lit(5)), "blocks").cast("int").alias("block"), F.lit(1).alias("own"), F.lit(0).alias("pivot"), F.lit(0.0).alias("dist"), "id", "v", "floor")
-    both = held.unionByName(own).repartition("shard", "block").sortWithinPartitions("shard", "block", "own", "pivot", "dist", "id")
+    held = index.join(blocks, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("own"), "pivot", "dist", "ids", "v", F.lit(0).cast("long").alias("floor"))
+    own = asked.join(blocks, "shard").select("shard", F.pmod(F.xxhash64("id", F.lit(5)), "blocks").cast("int").alias("block"), F.lit(1).alias("own"), F.lit(0).alias("pivot"), F.lit(0.0).alias("dist"), F.array("id").alias("ids"), "v", "floor")
+    both = held.unionByName(own).repartition("shard", "block").sortWithinPartitions("shard", "block", "own", "pivot", "dist")
     return both.mapInArrow(lambda it: _search(it, space, dim, k), "query_id long, vec_id long, score long")
 
 
@@ -236,19 +255,20 @@ def top_k(vectors: DataFrame, queries: Column | None = None, k: int = K, shard:
     asks = F.col("vec_id") % 20 == 0 if queries is None else queries
     finite = F.forall("embedding", lambda x: F.coalesce((F.abs(x.cast("double") * 64) < float("inf")) & ~F.isnan(x), F.lit(False)))
     rows = vectors.where("vec_id is not null and embedding is not null").where(finite & (F.size("embedding") > 0))
-    # from 2^52 on a double has no fraction, and floor() to a long would stop at the ends of a long
+    # from 2^52 on a double has no fraction, and floor() to a long would stop at the ends of a long; -0.0 equals 0.0
     whole = F.transform("embedding", lambda x: F.when(F.abs(x.cast("double") * 64) < 2.0**52, F.floor(x.cast("double") * 64).cast("double")).otherwise(x.cast("double") * 64))
     rows = rows.select(F.col("vec_id").cast("long").alias("id"), whole.alias("v"), F.coalesce(asks, F.lit(False)).alias("asks"))
     n, dim, n_asks = rows.agg(F.count("*"), F.max(F.size("v")), F.sum(F.col("asks").cast("long"))).first()
     if not n or not n_asks:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     space = fit(rows, dim)
-    index = build(rows, space, dim, n, shard)
-    once = index.where("asks").groupBy("id").agg(F.min(F.struct("v", "shard")).alias("q")).select("id", "q.v", F.col("q.shard").alias("home"))
-    once = materialize(once, "topk-queries")
-    home = materialize(_meet(index, once.select(F.col("home").alias("shard"), "id", "v", F.lit(LONG[0]).alias("floor")), space, dim, k, block), "topk-home")
+    index = build(materialize(entries(rows, k), "topk-entries"), space, dim, shard)
+    once = materialize(rows.where("asks").groupBy("id").agg(F.min("v").alias("v")), "topk-queries")
+    least = F.lit(LONG[0])
+    first = materialize(reach(once.select("id", "v", F.lit(None).alias("home"), least.alias("floor")), index, space, dim), "topk-first")
+    home = materialize(_meet(index, first, space, dim, k, block), "topk-home")
     floors = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor")).where("floor is not null")
-    asked = once.join(floors, once["id"] == floors["query_id"], "left").select("id", "v", "home", F.coalesce("floor", F.lit(LONG[0])).alias("floor"))
+    asked = first.join(floors, first["id"] == floors["query_id"], "left").select("id", "v", F.col("shard").alias("home"), F.coalesce(floors["floor"], least).alias("floor"))
     rest = materialize(reach(asked, index, space, dim), "topk-reach")
     found = home.unionByName(_meet(index, rest, space, dim, k, block))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

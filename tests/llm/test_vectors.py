@@ -146,14 +146,23 @@ def test_bounds_stop_searches_before_rows_are_sent(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert found(op9_topk.top_k(df, shard=200, block=50)) == ranking(rows, 16)
-    v = df.selectExpr("vec_id as id", "transform(embedding, e -> cast(floor(e * 64) as double)) as v", "vec_id % 20 = 0 as asks")
+    v = df.selectExpr("vec_id as id", "transform(embedding, e -> cast(floor(e * 64) as double)) as v")
     space = op9_topk.fit(v, 16)
-    index = op9_topk.build(v, space, 16, 4000, 200)
+    index = op9_topk.build(op9_topk.entries(v, 20), space, 16, 200)
     shards = index.select("shard").distinct().count()
     q = np.floor(x[::20] * 64)
     floors = {20 * k: sorted((int(s) for j, s in enumerate(np.floor(x * 64) @ q[k]) if j != 20 * k), reverse=True)[19] for k in range(200)}
-    asked = spark.createDataFrame([(r.id, r.v, r.shard, floors[r.id]) for r in index.where("asks").collect()], "id long, v array<double>, home int, floor long")
+    t = index.orderBy("pivot", "dist", "ids").toPandas()
+    home = {i: int(s) for s, ids in zip(t["shard"], t["ids"], strict=True) for i in ids}
+    asked = spark.createDataFrame([(i, q[i // 20].tolist(), home[i], f) for i, f in floors.items()], "id long, v array<double>, home int, floor long")
     assert op9_topk.reach(asked, index, space, 16).count() < 0.3 * 200 * (shards - 1)
-    t = index.orderBy("pivot", "dist", "id").toPandas()
-    made = op9_topk.best(space, t["id"].to_numpy(), np.stack(t["v"]), t["pivot"].to_numpy(), t["dist"].to_numpy(), np.arange(0, 4000, 20), q, np.array([floors[20 * k] for k in range(200)]), 20)[3]
+    made = op9_topk.best(space, np.arange(4000), np.concatenate(t["ids"].to_list()), np.stack(t["v"]), t["pivot"].to_numpy(), t["dist"].to_numpy(), np.arange(0, 4000, 20), q, np.array(list(floors.values())), 20)[3]
     assert made < 0.3 * 200 * 4000
+
+
+def test_one_common_vector_is_one_entry(spark):
+    rows = [(i, [1.0, 2.0, 0.5] if i % 3 else [i / 64.0, 1.0, -1.0]) for i in range(600)] + [(20, [1.0, 2.0, 0.5])] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found(op9_topk.top_k(df, shard=10, block=4)) == ranking(rows, 3)
+    lists = {len(r.ids) for r in op9_topk.entries(df.selectExpr("vec_id as id", "embedding as v"), 20).collect()}
+    assert max(lists) == 40 and min(lists) == 1
