@@ -32,7 +32,7 @@ def queries() -> dict:
 
 def _spans(kind: str, order: int) -> str:
     """Rows (doc_id, start, rank, kind, stop) of one rule: matches, and the gaps between them, by position."""
-    pattern, least, group, _ = op3_secrets.RULES[kind]
+    pattern, least, group = op3_secrets.RULES[kind]
     quoted = pattern.replace("'", "''")
     plain = quoted
     for i, open_ in enumerate(["((?i:", "([A-Za"]) if group else ():

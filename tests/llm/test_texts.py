@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import op1_packing, op2_toxicity, op3_secrets, op4_licenses, op5_simhash, op7_substrings, op8_language, op10_mixing
 from tessera.llm.common import connected_components
+from tessera.llm.trigrams import query_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -112,7 +113,7 @@ def test_matcher_folds_and_spares():
 
 def spans_of(text):
     out = []
-    for rank, (kind, (pattern, least, group, _)) in enumerate(op3_secrets.RULES.items()):
+    for rank, (kind, (pattern, least, group)) in enumerate(op3_secrets.RULES.items()):
         out += [(m.start(), rank, kind, m.end()) for m in re.finditer(pattern, text, re.ASCII) if len(m[group]) >= least]
     return sorted(out)
 
@@ -143,6 +144,69 @@ def test_secrets(spark, none):
         assert not [s for s in spans_of(r.text) if s[2] in ("access", "hex", "github")]
 
 
+def any_expression(r: random.Random, deep: int = 0) -> str:
+    one = lambda: r.choice(["a", "b", "K", "_", r"\.", "-", "[ab]", "[^ab]", "[A-C]", r"\x20", ".", r"\d", "abc", "Kab_", "é"])
+    if deep > 2:
+        return one()
+    parts = []
+    for _ in range(r.randint(1, 4)):
+        k = r.randrange(5)
+        inner = one() if k < 2 else any_expression(r, deep + 1)
+        p = f"(?:{inner})" if k < 2 else f"({inner})" if k == 2 else f"(?i:{inner})" if k == 3 else f"(?:{inner}|{any_expression(r, deep + 1)})"
+        # only single characters repeat without limit, or matching would take for ever
+        parts.append(p + (r.choice(["*", "+", "?", "{2}", "{1,3}", "{2,}", "{0,1}"] if k < 2 else ["?", "{2}", "{1,2}"]) if r.random() < 0.4 else ""))
+    return "".join(parts)
+
+
+def test_trigram_queries_lose_no_match():
+    r = random.Random(9)
+    asked = matched = 0
+    for _ in range(1500):
+        pattern = any_expression(r)
+        query = query_of(pattern)
+        asked += all(query)
+        for _ in range(12):
+            text = "".join(r.choice("aabbABCKk_.-  1éabc") for _ in range(r.randint(1, 30)))
+            for m in re.finditer(pattern, text, re.ASCII):
+                matched += 1
+                low = m[0].lower()
+                assert any(all(g in low for g in c) for c in query), (pattern, m[0], query)
+    assert asked > 400 and matched > 10_000
+    for odd in ("(?x) a b c", "[a[b]]c", "abc(", r"\1abc", "a{x}bcd"):
+        assert query_of(odd) == [frozenset()]
+    assert set(query_of("(?:ab|cd)efg?")) == {frozenset({"abe", "bef"}), frozenset({"cde", "def"})}
+
+
+def test_secrets_of_hot_rows(spark, monkeypatch):
+    """Rows of one key go to several tasks, with and without candidates."""
+    monkeypatch.setattr("tessera.llm.common.HOT", 3)
+    monkeypatch.setattr(op3_secrets, "HOT", 3)
+    docs = spark.createDataFrame([(None, SECRETS[0])] * 11 + [(None, "nothing here")] * 9 + [(k, None) for k in range(5)], "doc_id long, text string")
+    got = op3_secrets.secrets(docs).collect()
+    assert len(got) == 25 and sorted(r.n_assign for r in got) == [0] * 14 + [sum(s[2] == "assign" for s in spans_of(SECRETS[0]))] * 11
+
+
+def redacted(text, mark="[secret]"):
+    at, out = 0, ""
+    for start, _, _, end in spans_of(text):
+        if end > at:
+            out, at = out + text[at : max(at, start)] + mark, end
+    return out + text[at:]
+
+
+def test_redact(spark):
+    names = ["_was_null", "_row", "_text", "_spans", "_kinds", "_key", "_part"]
+    many = " ".join(f"é token=abcdef{k} {k:024x} x" for k in range(2500))
+    texts = [*SECRETS, many]
+    docs = spark.createDataFrame([(i, t, 7, *names) for i, t in enumerate(texts)], f"doc_id long, text string, n_chars int, {', '.join(f'{n} string' for n in names)}")
+    got = op3_secrets.redact(docs)
+    assert got.columns == docs.columns
+    for r in got.collect():
+        t = texts[r.doc_id]
+        assert r.text == (None if t is None else redacted(t)) and list(r[3:]) == names
+        assert r.n_chars == (len(r.text) if t and spans_of(t) else 7)
+
+
 def test_licenses(spark, none, docs):
     texts = ["Licensed under the Apache License, Version 2.0.", "bla\n  RELEASED under the MIT license\nbla bla", "this work is licensed under the gnu general public license version 3", None, "", "\n\n", "MIT", "a b c d e f"]
     got = {r.doc_id: r for r in op4_licenses.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
@@ -202,23 +266,44 @@ def test_one_row_of_each_group_of_null_ids(spark):
     assert sorted((r.doc_id or 0, (r.text or "").strip()) for r in got) == [(0, ""), (0, other), (5, one)]
 
 
-def test_tiles_and_hot_tiles(spark):
+def test_one_row_of_each_group_keeps_all_columns(spark):
+    names = ("_simhash_text", "_row", "_id", "_t", "fp", "k")
+    docs = spark.createDataFrame([(1, "a b c d", *names), (2, "a b c d", *names)], ["doc_id", "text", *names])
+    got = op5_simhash.first_of_each(docs)
+    assert got.columns == docs.columns and got.collect() == docs.where("doc_id = 1").collect()
+
+
+def test_tiles(spark):
+    from tessera.llm.common import forest
+
     r = np.random.default_rng(1)
     base = r.integers(0, 1 << 62, 30)
     fps = sorted({int(b) ^ int(sum(1 << int(k) for k in r.choice(62, r.integers(0, 5), replace=False))) for b in base for _ in range(40)} | {0, 1, 7, 15})
     u = np.array(fps, np.uint64)
-    near = np.bitwise_count(u[:, None] ^ u[None]) <= 3
-    from tessera.llm.common import forest
-
-    want = forest(len(u), *np.nonzero(near))
-    for hot in (200_000, 8):
-        e = op5_simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), hot=hot).collect()
+    want = forest(len(u), *np.nonzero(np.bitwise_count(u[:, None] ^ u[None]) <= 3))
+    for tile in (512, 8):
+        e = op5_simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), tile=tile).collect()
         at = {f: i for i, f in enumerate(fps)}
-        assert all((x.a ^ x.b).bit_count() <= 64 for x in e)
         got = forest(len(u), np.array([at[x.a] for x in e]), np.array([at[x.b] for x in e]))
         assert (got == want).all()
 
 
+def test_tiles_apart_are_skipped(spark):
+    """As many fingerprints as sf0.1 has, a third of them with one value of a block."""
+    r = np.random.default_rng(5)
+    u = np.unique(np.concatenate([r.integers(0, 1 << 63, 6200), r.integers(0, 1 << 47, 3100) << 16 | 77]))
+    tiles = op5_simhash.tiles_of(spark.createDataFrame([(int(x),) for x in u], "fp long"), tile=64).cache()
+    pairs = op5_simhash.tile_pairs(tiles).collect()
+    held = {t.tile: t for t in tiles.collect()}
+    n = len(held)
+    assert all(len(t.fps) <= 64 for t in held.values()) and sum(len(t.fps) for t in held.values()) == 4 * len(u)
+    assert 1.5 * n < len(pairs) < 0.2 * n * (n + 1) / 8
+    hot = [t for t in held.values() if t.block == 0 and t.first == t.last == 77]
+    compared = {(p.a, p.b) for p in pairs}
+    near = [(a.tile, b.tile) for a in hot for b in hot if a.tile <= b.tile and b.least - a.most <= 3 and a.least - b.most <= 3]
+    assert len(hot) >= 46 and set(near) <= compared and len(near) < 0.9 * len(hot) * (len(hot) + 1) / 2
+
+
 def dedup(rows, n=50):
     first = {}
     words = [(d, WORD.findall(t or "")) for d, t, *_ in rows]
