@@ -30,13 +30,24 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for release() to delete."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def folders(spark: SparkSession, path: str, name: str = "*") -> list[str]:
+    """Names in a folder of any of Spark's file systems that match; none if there is no such folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    return [f.getPath().getName() for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []]
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_folder(df.sparkSession, name)
     df.write.parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(keep: int = 0) -> None:

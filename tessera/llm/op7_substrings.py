@@ -3,15 +3,24 @@
 A window is WINDOW consecutive words; a word goes if some window over it also starts in a
 document with a smaller doc_id. Of the hashes of the GRAM-word grams in a window the index
 keeps the least: equal windows have equal least grams, and a document has few distinct ones
-(about a thirteenth of its windows). Documents come in batches, by ascending doc_id. The
-entries of a batch are sorted and written as an immutable run (gram, lo, hi: the least and
-greatest text that holds it); the runs of former batches are merge-joined with it, and grams
-of two texts at least are candidates. More than FANOUT runs are compacted to one.
+(about a thirteenth of its windows).
 
-Candidates are verified: texts that hold one are read again, and 128-bit digests of the
-whole words of each window with a candidate gram are grouped; a window's first document is
-the smallest. Equal texts fall together first: only the first of a group of copies meets
-the index, the others lose all their windows at once.
+The index is a folder. Documents come in batches, by ascending doc_id, and each batch becomes
+one immutable run of three tables, bucketed and sorted by their keys:
+
+    texts    (t1, t2)  its distinct texts, and the least doc_id of each
+    grams    (gram)    how many of its texts hold a gram, and one of them
+    windows  (w1, w2)  128-bit digests of windows under grams that two texts hold, least doc_id
+
+Former runs are joined as they lie with the new one: they are neither exchanged nor read by
+other keys. A gram that two texts hold, former ones included, makes its windows candidates; they are
+verified by digests of their whole words, in the batch's texts and, where the gram had one
+holder so far, in that former text. Before a batch that finds FANOUT runs these are compacted
+to one. A manifest, written last, names the runs; a later session opens the folder and goes on.
+
+Equal texts fall together first: only the first of a group of copies meets the index, the
+others lose all their windows at once. Grams, windows and texts of many rows are dealt to
+several tasks; counts are combined before they are exchanged.
 
 Defined cases: null text has no words; texts of under WINDOW words keep all; repeated rows
 with one doc_id don't remove each other's words; a null doc_id neither removes nor loses
@@ -21,6 +30,8 @@ words; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -29,10 +40,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import folders, hot_join, materialize, scratch_folder
 from tessera.llm.windows import grams, lows, word_hashes, words
 
-WINDOW, GRAM, FANOUT, BATCHES = 50, 25, 4, 2
+WINDOW, GRAM, FANOUT, BATCHES = 50, 25, 2, 3
+#: Of each table of a run: its schema and the leading columns that are its key.
+TABLES = {
+    "texts": ("t1 long, t2 long, first long, raw binary, grams array<long>", 2),
+    "grams": ("gram long, n long, t1 long, t2 long", 1),
+    "windows": ("w1 long, w2 long, first long", 2),
+}
 
 
 def anchors(raw: bytes, start: np.ndarray, end: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -42,16 +59,24 @@ def anchors(raw: bytes, start: np.ndarray, end: np.ndarray, window: int, gram: i
 
 def _scan(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n, sha, keys = [], [], []
+        n, sha = [], []
+        for raw in b.column(3).to_pylist():
+            parts = (raw or b"").split()
+            n.append(len(parts))
+            sha.append(hashlib.sha256(b" ".join(parts)).hexdigest())
+        yield pa.record_batch([*b.columns[:3], pa.array(n, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "t1", "t2", "n_words", "sha"])
+
+
+def _grams(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Adds the anchors of texts (t1, t2, first, raw); those of too few words go."""
+    for b in batches:
+        keys = []
         for raw in b.column(3).to_pylist():
-            raw = raw or b""
             start, end = words(raw)
-            n.append(len(start))
-            sha.append(hashlib.sha256(b" ".join(raw.split())).hexdigest())
             keys.append(np.unique(anchors(raw, start, end, window, gram)) if len(start) >= window else np.zeros(0, np.int64))
         offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int64), *keys]))
-        yield pa.record_batch([*b.columns[:3], pa.array(n, pa.int64()), pa.array(sha, pa.string()), lists], names=["doc_id", "t1", "t2", "n_words", "sha", "grams"])
+        yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, "grams"]).filter(pa.array(np.diff(offsets) > 0))
 
 
 def _digest(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -74,10 +99,10 @@ def _digest(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterat
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, raw, starts of removed windows) -> results."""
+    """Rows (t1, t2, raw, starts of removed windows) -> results."""
     for b in batches:
         out = []
-        for doc, raw, starts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+        for raw, starts in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
             parts = raw.split()
             edge = np.zeros(len(parts) + 1, np.int64)
             starts = np.array(starts)
@@ -85,69 +110,118 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
             np.add.at(edge, starts + window, -1)
             gone = np.cumsum(edge[:-1]) > 0
             kept = b" ".join([w for w, g in zip(parts, gone.tolist(), strict=True) if not g])
-            out.append((doc, len(parts), int(gone.sum()), hashlib.sha256(kept).hexdigest()))
+            out.append((int(gone.sum()), hashlib.sha256(kept).hexdigest()))
         if out:
             c = list(zip(*out, strict=True))
-            yield pa.record_batch([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+            yield pa.record_batch([*b.columns[:2], pa.array(c[0], pa.int64()), pa.array(c[1], pa.string())], names=["t1", "t2", "n_removed", "kept"])
 
 
 class FingerprintIndex:
-    """Sorted immutable runs (gram, lo, hi); add() returns a batch's grams that two texts hold, former batches included."""
-
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.runs = spark, fanout, []
-
-    @staticmethod
-    def _sorted(entries: DataFrame) -> DataFrame:
-        return materialize(entries.groupBy("gram").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).sortWithinPartitions("gram"), "run")
-
-    def add(self, entries: DataFrame) -> DataFrame:
-        """entries: (gram, text)."""
-        new = self._sorted(entries.select("gram", F.col("text").alias("lo"), F.col("text").alias("hi")))
-        out = new
-        for k, run in enumerate(self.runs):
-            old = run.select("gram", F.col("lo").alias(f"lo{k}"), F.col("hi").alias(f"hi{k}"))
-            out = out.join(old, "gram", "left").select("gram", F.least("lo", f"lo{k}").alias("lo"), F.greatest("hi", f"hi{k}").alias("hi"))
-        self.runs.append(new)
-        if len(self.runs) > self.fanout:
-            self.compact()
-        return out.where("lo < hi").select("gram")
+    """The index in the folder path, opened if there is one, else begun."""
+
+    def __init__(self, spark: SparkSession, path: str, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT):
+        self.spark, self.path, self.fanout = spark, path, fanout
+        versions = sorted(v for v in folders(spark, f"{path}/manifest") if folders(spark, f"{path}/manifest/{v}", "_SUCCESS"))
+        self.state = {"version": 0, "buckets": int(spark.conf.get("spark.sql.shuffle.partitions")), "window": window, "gram": gram, "runs": []}
+        if versions:
+            self.state = json.loads(spark.read.text(f"{path}/manifest/{versions[-1]}").first()[0])
+        self.window, self.gram = self.state["window"], self.state["gram"]
+
+    def _commit(self, runs: list[str]) -> None:
+        """The manifest is one line; a version without its mark of success doesn't count."""
+        self.state = self.state | {"version": self.state["version"] + 1, "runs": runs}
+        self.spark.createDataFrame([(json.dumps(self.state),)], "value string").coalesce(1).write.text(f"{self.path}/manifest/{self.state['version']:09d}")
+
+    def _write(self, df: DataFrame, run: str, table: str) -> DataFrame:
+        keys = df.columns[: TABLES[table][1]]
+        name = f"run_{uuid.uuid4().hex}"
+        df.write.bucketBy(self.state["buckets"], *keys).sortBy(*keys).option("path", f"{self.path}/{run}/{table}").saveAsTable(name)
+        return self._taken(name)
+
+    def _taken(self, name: str) -> DataFrame:
+        """The files of a table, with their buckets; the catalogue forgets its name."""
+        df = self.spark.table(name)
+        self.spark.sql(f"drop table {name}")
+        return df
+
+    def run(self, run: str, table: str) -> DataFrame:
+        schema, n = TABLES[table]
+        keys = ", ".join(c.split()[0] for c in schema.split(", ")[:n])
+        name = f"run_{uuid.uuid4().hex}"
+        self.spark.sql(f"create table {name} ({schema}) using parquet clustered by ({keys}) sorted by ({keys}) into {self.state['buckets']} buckets location '{self.path}/{run}/{table}'")
+        return self._taken(name)
 
     def compact(self) -> None:
         """One run in place of all; the former files are not changed."""
-        self.runs = [self._sorted(reduce(DataFrame.union, self.runs))]
+        runs, new = self.state["runs"], f"run-{uuid.uuid4().hex}"
+        all_ = {t: reduce(DataFrame.union, [self.run(r, t) for r in runs]) for t in TABLES}
+        self._write(all_["texts"], new, "texts")  # a text is in the first run that met it, and in no other
+        self._write(all_["grams"].groupBy("gram").agg(F.sum("n").alias("n"), F.min(F.struct("t1", "t2")).alias("t")).select("gram", "n", "t.t1", "t.t2"), new, "grams")
+        self._write(all_["windows"].groupBy("w1", "w2").agg(F.min("first").alias("first")), new, "windows")
+        self._commit([new])
+
+    def _met(self, df: DataFrame, table: str, columns: list[str]) -> DataFrame:
+        """df with the columns of the former runs' rows of its keys, each as a list (null without any)."""
+        keys = [c.split()[0] for c in TABLES[table][0].split(", ")[: TABLES[table][1]]]
+        for k, r in enumerate(self.state["runs"]):
+            old = self.run(r, table).select(*keys, F.struct(*columns).alias(f"_old{k}"))
+            df = df.join(old, keys, "left")
+        olds = [f"_old{k}" for k in range(len(self.state["runs"]))]
+        met = F.array_compact(F.array(*olds)) if olds else F.array().cast(f"array<struct<{','.join(f'{c}:long' for c in columns)}>>")
+        return df.withColumn("_met", met).drop(*olds)
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """docs (doc_id, text) of a batch, all ids above the former batches' -> doc_id, n_words, n_removed, kept_sha256, a written table."""
+        if len(self.state["runs"]) >= self.fanout:
+            self.compact()
+        window, gram, new = self.window, self.gram, f"run-{uuid.uuid4().hex}"
+        text = F.coalesce("text", F.lit(""))
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.cast("binary").alias("raw"))
+        plain = materialize(rows.mapInArrow(lambda it: _scan(it, window, gram), "doc_id long, t1 long, t2 long, n_words long, sha string"), "substring-docs")
+        known = rows.where("doc_id is not null").groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.first("raw").alias("raw"))
+        met = self._met(known, "texts", ["first"]).where("size(_met) = 0").drop("_met")
+        texts = self._write(met.mapInArrow(lambda it: _grams(it, window, gram), TABLES["texts"][0]), new, "texts")
+        # which grams two texts hold, and which of them had one holder so far
+        held = texts.select("t1", "t2", F.explode("grams").alias("gram"))
+        counted = held.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2")).alias("t")).select("gram", "n", "t.t1", "t.t2")
+        own = self._write(counted, new, "grams")
+        before = F.aggregate("_met", F.lit(0).cast("long"), lambda a, m: a + m["n"])
+        shared = self._met(own, "grams", ["n", "t1", "t2"]).withColumn("before", before).where(F.col("n") + F.col("before") > 1)
+        shared = materialize(shared.select("gram", "n", F.when(F.col("before") == 1, F.col("_met")[0]).alias("old")), "shared-grams")
+        asked = hot_join(held, shared.select("gram", "n"), ["gram"], "n").groupBy("t1", "t2").agg(F.collect_set("gram").alias("asked"))
+        seen = [texts.join(asked, ["t1", "t2"]).select("t1", "t2", "first", "raw", "asked")]
+        late = shared.where("old is not null").groupBy("old.t1", "old.t2").agg(F.collect_set("gram").alias("asked"))
+        seen += [self.run(r, "texts").join(late, ["t1", "t2"]).select("t1", "t2", "first", "raw", "asked") for r in self.state["runs"]]
+        digests = reduce(DataFrame.union, [s.mapInArrow(lambda it: _digest(it, window, gram), "w1 long, w2 long, t1 long, t2 long, first long, start int") for s in seen])
+        digests = materialize(digests, "substring-windows")
+        # whose windows start in a document of a smaller id
+        least = digests.groupBy("w1", "w2").agg(F.min("first").alias("first"), F.max("first").alias("last"), F.count("*").alias("n"))
+        least = materialize(self._met(least, "windows", ["first"]), "substring-least")
+        self._write(least.select("w1", "w2", "first"), new, "windows")
+        low = least.select("w1", "w2", "n", "last", F.aggregate("_met", F.col("first"), lambda a, m: F.least(a, m["first"])).alias("low")).where("low < last").drop("last")
+        gone = hot_join(digests, low, ["w1", "w2"], "n").where("low < first").groupBy("t1", "t2").agg(F.collect_set("start").alias("starts"))
+        cut = texts.select("t1", "t2", "raw").join(gone, ["t1", "t2"]).select("t1", "t2", "raw", "starts")
+        cut = materialize(cut.mapInArrow(lambda it: _cut(it, window), "t1 long, t2 long, n_removed long, kept string"), "substring-cut")
+        # what holds for a text holds for its first document; later ones lose all
+        each = plain.where("doc_id is not null").groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
+        each = self._met(each, "texts", ["first"]).withColumn("first", F.aggregate("_met", F.col("first"), lambda a, m: F.least(a, m["first"]))).drop("_met")
+        each = materialize(each.join(cut, ["t1", "t2"], "left"), "substring-firsts")
+        of = hot_join(plain, each, ["t1", "t2"], "rows", "left")
+        whole = F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window), F.lit(False))
+        part = F.coalesce(F.col("n_removed").isNotNull() & (F.col("doc_id") == F.col("first")), F.lit(False))
+        out = of.select("doc_id", "n_words", F.when(whole, F.col("n_words")).when(part, F.col("n_removed")).otherwise(F.lit(0)).cast("long").alias("n_removed"), F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).when(part, F.col("kept")).otherwise(F.col("sha")).alias("kept_sha256"))
+        out = materialize(out, "substring-result")
+        self._commit([*self.state["runs"], new])
+        return out
 
 
 def dedup(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t1"), F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("t2"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
-    table = materialize(rows.mapInArrow(lambda it: _scan(it, window, gram), "doc_id long, t1 long, t2 long, n_words long, sha string, grams array<long>"), "window-grams")
-    first = table.where("doc_id is not null").groupBy("t1", "t2").agg(F.min("doc_id").alias("first"))
-    bounds = table.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)] or [1.0], 1000)).first()[0] or []
-    bounds = [None, *sorted({*bounds} if batches > 1 else {}), None]
-    held = table.where("doc_id is not null").select("doc_id", "t1", F.explode("grams").alias("gram"))
-    index, shared = FingerprintIndex(spark, fanout), []
+    """doc_id, n_words, n_removed, kept_sha256: all docs as batches of a new index, by ascending doc_id (null ids with the first)."""
+    index = FingerprintIndex(docs.sparkSession, scratch_folder(docs.sparkSession, "substring-index"), window, gram, fanout)
+    id_ = F.col("doc_id").cast("long")
+    cuts = docs.agg(F.percentile_approx(id_, [k / batches for k in range(1, batches)], 1000)).first()[0] or [] if batches > 1 else []
+    bounds, out = [None, *sorted(set(cuts)), None], []
     for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-        part = held if low is None else held.where(F.col("doc_id") > low)
-        part = part if high is None else part.where(F.col("doc_id") <= high)
-        shared.append(index.add(part.select("gram", F.col("t1").alias("text"))))
-    asked = materialize(reduce(DataFrame.union, shared).distinct(), "shared-grams")
-    texts = table.where("doc_id is not null").select("doc_id", "t1", "t2", F.explode("grams").alias("gram")).join(asked, "gram")
-    texts = texts.groupBy("doc_id", "t1", "t2").agg(F.collect_set("gram").alias("grams"))
-    texts = texts.join(first, ["t1", "t2"]).where("doc_id = first").select("t1", "t2", "first", "grams")
-    texts = materialize(texts, "shared-texts")
-    read = rows.join(texts.hint("shuffle_hash"), (rows["t1"] == texts["t1"]) & (rows["t2"] == texts["t2"]) & (rows["doc_id"] == texts["first"]))
-    seen = read.select(texts["t1"], texts["t2"], "first", "raw", "grams").mapInArrow(lambda it: _digest(it, window, gram), "w1 long, w2 long, t1 long, t2 long, first long, start int")
-    seen = materialize(seen, "windows")
-    low = seen.groupBy("w1", "w2").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high").select("w1", "w2", "low")
-    gone = seen.join(low, ["w1", "w2"]).where("low < first").groupBy("t1", "t2", "first").agg(F.collect_set("start").alias("starts"))
-    gone = materialize(gone, "removed-windows")
-    cut = rows.join(gone.hint("shuffle_hash"), (rows["t1"] == gone["t1"]) & (rows["t2"] == gone["t2"]) & (rows["doc_id"] == gone["first"]))
-    cut = cut.select("doc_id", "raw", "starts").mapInArrow(lambda it: _cut(it, window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    plain = table.select("doc_id", "t1", "t2", "n_words", "sha").join(first, ["t1", "t2"], "left")
-    left = plain.join(gone.select("t1", "t2", "first"), (plain["t1"] == gone["t1"]) & (plain["t2"] == gone["t2"]) & (plain["doc_id"] == gone["first"]), "left_anti")
-    whole = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window)
-    whole = F.coalesce(whole, F.lit(False))
-    left = left.select("doc_id", "n_words", F.when(whole, F.col("n_words")).otherwise(F.lit(0)).cast("long").alias("n_removed"), F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("sha")).alias("kept_sha256"))
-    return left.unionByName(cut)
+        part = docs.where((F.lit(True) if high is None else id_ <= high) | id_.isNull()) if low is None else docs.where((id_ > low) & (F.lit(True) if high is None else id_ <= high))
+        out.append(index.add(part.select("doc_id", "text")))
+    return reduce(DataFrame.union, out)

@@ -323,13 +323,32 @@ def dedup(rows, n=50):
 
 
 def test_substrings(docs, none, rows):
-    for batches, fanout in ((1, 4), (2, 4), (6, 2)):
+    for batches, fanout in ((1, 4), (3, 2)):
         got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in op7_substrings.dedup(docs, batches=batches, fanout=fanout).collect())
         assert got == dedup(rows)
     assert sum(x[2] for x in dedup(rows)) > 300
     assert op7_substrings.dedup(none).count() == 0
 
 
+def test_index_goes_on_in_a_later_session(spark, rows, tmp_path):
+    """Every batch opens the folder anew, as another session would; runs that were not committed don't count."""
+    schema = "doc_id long, text string"
+    ids = sorted({r[0] for r in rows if r[0] is not None})
+    cuts = [-1, *(ids[len(ids) * k // 4] for k in (1, 2, 3)), 10**9]
+    got, path = [], str(tmp_path / "index")
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        (tmp_path / "index/manifest/999999999").mkdir(parents=True, exist_ok=True)
+        index = op7_substrings.FingerprintIndex(spark.newSession(), path, fanout=2)
+        part = [(d, t) for d, t, *_ in rows if d is not None and low < d <= high]
+        got += index.add(index.spark.createDataFrame(part, schema)).collect()
+    want = dedup([r for r in rows if r[0] is not None])
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
+    assert index.state["version"] > 4 and len(index.state["runs"]) == 2
+    index.spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    plan = index._met(index.run(index.state["runs"][0], "windows").select("w1", "w2"), "windows", ["first"])
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_language(spark, none):
     sounds = {"xx": ["ka", "ki", "ko", "kur"], "yy": ["sse", "sso", "sil", "sam"], "zz": ["ulm", "olm", "elm", "ilm"]}
     rows = []
@@ -347,6 +366,31 @@ def test_language(spark, none):
     assert op8_language.language(none).count() == 0
 
 
+def test_language_takes_numbers_for_no_letters(spark):
+    texts = ["10² ½", "Ⅷ ①", "²", "kakiko", None, "ª", " ".join(["kakiko", "kurka"] * 40_000)]
+    rows = [(i, t, None, "c", "c") for i, t in enumerate(texts)] + [(100 + i, "kakiko kurka" if i % 2 else "ssesso silsam", "xx" if i % 2 else "yy", "c", "c") for i in range(200)]
+    out = {r.doc_id: r.lang_pred for r in op8_language.language(spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out string, lang_pred string")).collect()}
+    assert [out[i] == "und" for i in range(7)] == [True, True, True, False, True, False, False] and out[3] == out[6] == "xx"
+
+
+def test_words_of_two_languages_are_told_apart(spark):
+    r = random.Random(3)
+    make = {"xx": lambda: "".join(r.choice(["ka", "ki", "kor", "kur"]) for _ in range(3)), "yy": lambda: "".join(r.choice(["sse", "sil", "sam", "som"]) for _ in range(3))}
+    texts = [(k, " ".join(make[k]() for _ in range(20))) for k in ("xx", "yy") for _ in range(60)]
+    model = op8_language.train([t for _, t in texts], [k for k, _ in texts])
+    switched = [("xx", make["xx"]()) for _ in range(9)] + [("yy", make["yy"]()) for _ in range(7)] + [("xx", make["xx"]()) for _ in range(5)]
+    text = "½ " + ", ".join(w for _, w in switched)
+    got = op8_language.word_languages(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"), model).collect()
+    assert [(text[w.start : w.end], w.lang) for w in got[0].words] == [(w, k) for k, w in switched]
+    assert got[1].words == got[2].words == [] and all(0.5 < w.score <= 1 for w in got[0].words)
+
+
+def test_lexicon_has_every_typical_word():
+    words = [f"w{'abcdefghij'[k // 100]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k % 10]}" for k in range(700)]
+    model = op8_language.train([" ".join(words * 3), "das das das wabc"], ["xx", "yy"], epochs=1)
+    assert set(model["lexicon"]) == {*words, "das"} - {"wabc"}
+
+
 def test_forward_backward():
     r = np.random.default_rng(0)
     emit, trans = r.random((6, 3, 3)) + 0.1, r.random((3, 3)) + 0.1
@@ -401,6 +445,40 @@ def test_mixing(docs, none, rows):
     assert out.columns == docs.columns and out.count() == sum(r.copies for r in got)
 
 
+def dense_rates(sizes, target):
+    """The tilt of one source's documents by bisection on its one multiplier."""
+    x = np.array(sizes, float) / np.mean(sizes)
+    rate = lambda l: 2 / (1 + np.exp(-np.clip(l * x, -700, 700)))
+    low, high = -1e4, 1e4
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if (rate(mid) * x).sum() < target / np.mean(sizes) else (low, mid)
+    return dict(zip(sizes, rate((low + high) / 2), strict=True))
+
+
+def test_mixing_rates_against_a_dense_solve(spark):
+    r = random.Random(2)
+    data = {s: [r.choice([1, 2, 5, 40, 300, 2000]) * r.randint(1, 9) for _ in range(200)] for s in "abcd"}
+    docs = spark.createDataFrame([(i * 10 + k, " ".join(["w"] * z), s) for k, s in enumerate(data) for i, z in enumerate(data[s])], "doc_id long, text string, source string")
+    got = op10_mixing.mix(docs, ["doc_id", "source"]).collect()
+    for s, sizes in data.items():
+        own = [g for g in got if g.source == s]
+        target = own[0].target
+        assert abs(sum(g.taken for g in own) - target) <= max(sizes)
+        if target > 1.999 * sum(sizes):
+            assert all(g.copies == 2 for g in own)
+            continue
+        rates = dense_rates(sizes, target)
+        by = defaultdict(list)
+        for g in own:
+            by[g.size].append(g.copies)
+        # copies of all documents up to a size come near their rates, but for what the last corrections move
+        upto = want = 0.0
+        for z in sorted(by):
+            upto, want = upto + sum(by[z]), want + len(by[z]) * rates[z]
+            assert abs(upto - want) <= 4 and max(by[z]) - min(by[z]) <= 1
+
+
 def test_mixing_salted_groups(spark, monkeypatch):
     monkeypatch.setattr(op10_mixing, "GROUP", 7)
     docs = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise("b").alias("source"), F.lit("a b c").alias("text"))
@@ -408,6 +486,47 @@ def test_mixing_salted_groups(spark, monkeypatch):
     assert all(abs(r.t - r.w) <= 3 and r.m <= 2 for r in got)
 
 
+def plain_matches(text, model):
+    """Every start of a word tried with every term, without an automaton."""
+    t, found, spared = op2_toxicity.fold(text), [], []
+    for i in range(len(t)):
+        if i and t[i - 1].isalpha():
+            continue
+        ends = lambda j: j == len(t) or not t[j].isalpha()
+        spared += [(i, i + len(p)) for p in model["exceptions"] if t.startswith(p, i) and ends(i + len(p))]
+        hits = [(w, i + len(x.rstrip("*"))) for x, w in model["terms"].items() if t.startswith(x.rstrip("*"), i) and (x[-1] == "*" or ends(i + len(x)))]
+        if hits:
+            found.append((i, max(e for _, e in hits), max(w for w, _ in hits)))
+    return [m for m in found if not any(a <= m[0] and m[1] <= b for a, b in spared)]
+
+
+def test_matcher_against_brute_force():
+    r = random.Random(6)
+    model = {"terms": {"lump": 2.0, "lum*": 0.5, "lumpen*": 1.5, "ass": 1.0, "assel*": 3.0, "a*": 0.1}, "exceptions": ["lump of", "ass el", "big lumpen"], "logit": [0, 0, 0]}
+    m, hits = op2_toxicity.Matcher(model), 0
+    for _ in range(2000):
+        text = "".join(r.choice(["lump", "lumpen", "1UMP", "ass", "ass el", "а$s", " of", "el", " ", " ", "big ", "x", "-", "\u200b"]) for _ in range(r.randint(0, 12)))
+        want = plain_matches(text, model)
+        hits += len(want)
+        assert m.matches(text) == want, text
+    assert hits > 1000
+
+
+def test_toxicity_of_odd_rows(spark):
+    """Clashing names, a very long text, and more exceptions than any cap."""
+    r = random.Random(8)
+    plain = ["".join(r.choice("abcdefghijkl") for _ in range(r.randint(3, 8))) for _ in range(900)]
+    rows, labels = [], []
+    for i in range(3000):
+        rows.append((i, " ".join(r.choices(plain, k=9)) + (" mistkerl" if i % 6 == 0 else f" mistkerl {plain[i % 400]}kanne" if i % 6 == 1 else ""), *["c"] * 6))
+        labels.append((i, int(i % 6 == 0)))
+    rows.append((9001, " ".join(r.choices(plain, k=200_000)), *["c"] * 6))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string, _text string, predicted string, held_out string, toxic string, key string")
+    out = op2_toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"] and out.count() == 3001
+    assert op2_toxicity.score(docs, {"terms": {}, "exceptions": [], "logit": [0, 0, 0]}, docs.columns).select("_row.*").columns == docs.columns
+
+
 def test_toxicity_learns_rare_terms(spark):
     r = random.Random(4)
     plain = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9))) for _ in range(4000)]
