@@ -3,9 +3,12 @@
 Each word (a run of letters) has affix, character-bigram, whole-word and lexicon features,
 hashed to BUCKETS; transitions between the languages of neighbouring words are learned.
 Training is full-batch AdaGrad on the exact gradient (forward-backward) over a bounded
-sample of labelled rows (SAMPLE, a documented parameter), whole texts, in segments. A text's
-prediction sums the marginals of all its words, computed by forward-backward over the whole
-text, so code-switched passages count for their own language. Only the model goes to the
+sample: SAMPLE labelled rows are cut into pieces of SEGMENT words, of which PIECES distinct
+ones are kept (both documented parameters; expected numbers, drawn by hashes of texts). The
+lexicon has all words of the sample that TYPICAL times out of TYPICAL + 1 stand in one
+language, seen SEEN times at least. A text's prediction sums the marginals of all its words, computed
+by forward-backward over the whole text, so code-switched passages count for their own
+language; word_languages() returns the label of each word. Only the model goes to the
 executors; texts are read in place, nothing is shuffled.
 
 Defined cases: null text or a text without letters is `und` with score 0, likewise all
@@ -17,6 +20,7 @@ gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,8 +32,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import bucket_of, materialize
 
-SAMPLE, BUCKETS, EPOCHS, SEGMENT, LEXICON, GROUP, CACHE = 1_500, 1 << 16, 14, 128, 200, 256, 400_000
-TOKEN = re.compile(r"[^\W\d_]+")
+SAMPLE, PIECES, BUCKETS, EPOCHS, SEGMENT, SEEN, TYPICAL, GROUP, CACHE = 1_500, 8_000, 1 << 16, 14, 128, 3, 4, 256, 400_000
+#: Numbers that a regular expression takes for parts of words: superscripts, fractions, Roman numerals and so on.
+_NUMBERS = re.escape("".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()))
+TOKEN = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 
 
 def features(word: str, lexicon: dict[str, list[int]]) -> list[int]:
@@ -102,10 +108,10 @@ def train(texts: list[str], langs: list[str], epochs: int = EPOCHS) -> dict:
     counts = {k: Counter() for k in names}
     for w, k in zip(words, langs, strict=True):
         counts[k].update(w)
-    lexicon: dict[str, list[int]] = {}
-    for i, k in enumerate(names):
-        for w, _ in sorted(counts[k].items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
-            lexicon.setdefault(w, []).append(i)
+    total = {k: max(1, c.total()) for k, c in counts.items()}
+    share = {w: [counts[k][w] / total[k] for k in names] for k in names for w, m in counts[k].items() if m >= SEEN}
+    lexicon = {w: [i for i, x in enumerate(r) if x > TYPICAL * (sum(r) - x) and counts[names[i]][w] >= SEEN] for w, r in share.items()}
+    lexicon = {w: own for w, own in lexicon.items() if own}
     vocab = {w: i for i, w in enumerate(sorted({w for t in words for w in t}))}
     if not vocab or n == 0:
         return {"names": names if n else [], "weights": np.zeros((BUCKETS + 1 + n, max(n, 1))), "lexicon": {}, "trans": np.ones((max(n, 1), max(n, 1)))}
@@ -179,16 +185,55 @@ def predict(texts: list[str | None], model: dict, emissions: Emissions) -> tuple
     return lang, score
 
 
-def learn(docs: DataFrame, known: Column, sample: int = SAMPLE) -> dict:
-    """known: a condition of the rows to learn from. sample: expected number of rows at most."""
-    rows = docs.where(known).where("lang is not null and text is not null and doc_id is not null")
-    n = rows.select("doc_id").count()
-    part = int(min(1.0, sample / max(1, n)) * 1_000_000)
-    got = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) < part).select("doc_id", "text", "lang")
-    got = materialize(got, "language-sample").orderBy("doc_id", "lang", "text").collect()
+def label_words(text: str | None, model: dict, emissions: Emissions | None = None) -> list[tuple[int, int, str, float]]:
+    """(start, end, language, probability) of every word of a text, positions in the text as it is."""
+    found = list(TOKEN.finditer(text or ""))
+    if not found or not model["names"]:
+        return []
+    emissions = emissions or Emissions(model)
+    rows, table = emissions.look([[m[0].lower() for m in found]])
+    marg = forward_backward(table[rows][:, None], np.array([len(found)]), model["trans"])[0][:, 0]
+    return [(m.start(), m.end(), model["names"][k], float(p[k])) for m, k, p in zip(found, marg.argmax(axis=1).tolist(), marg, strict=True)]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts (text, lang) in pieces of SEGMENT words."""
+    for b in batches:
+        for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            w = TOKEN.findall(text.lower())
+            parts = [" ".join(w[k : k + SEGMENT]) for k in range(0, len(w), SEGMENT)]
+            yield pa.record_batch([pa.array(parts, pa.string()), pa.array([lang] * len(parts), pa.string())], names=["text", "lang"])
+
+
+def learn(docs: DataFrame, known: Column, sample: int = SAMPLE, pieces: int = PIECES) -> dict:
+    """known: a condition of the rows to learn from. sample, pieces: expected numbers of rows, and of their pieces, at most."""
+    rows = docs.where(known).where("lang is not null and text is not null and doc_id is not null").select(F.xxhash64(F.lit(8), "text", "doc_id").alias("h"), "text", F.col("lang").cast("string").alias("lang"))
+
+    def share(most: int, n: int) -> int:
+        return int(min(1.0, most / max(1, n)) * 1_000_000)
+
+    part = share(sample, docs.where(known).where("lang is not null and text is not null and doc_id is not null").count())
+    cut = rows.where(F.pmod("h", F.lit(1_000_000)) < part).select("text", "lang").mapInArrow(_pieces, "text string, lang string").distinct()
+    cut = materialize(cut, "language-sample")
+    got = cut.where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1_000_000)) < share(pieces, cut.count())).orderBy("lang", "text").collect()
     return train([r.text for r in got], [r.lang for r in got])
 
 
+def word_languages(docs: DataFrame, model: dict) -> DataFrame:
+    """doc_id and words (start, end, lang, score), the label of each word of a text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        emissions = Emissions(shared.value)
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("score", pa.float64())]))
+        for b in batches:
+            for k in range(b.num_rows):
+                words = [dict(zip(("start", "end", "lang", "score"), w, strict=True)) for w in label_words(b.column(1)[k].as_py(), shared.value, emissions)]
+                yield pa.record_batch([b.column(0).slice(k, 1), pa.array([words], kind)], names=["doc_id", "words"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, words array<struct<start: int, end: int, lang: string, score: double>>")
+
+
 def language(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learns from rows outside the quarter that is held out."""
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, bucket_of(F.col("doc_id"), 4) != 2))
