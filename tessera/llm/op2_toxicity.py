@@ -5,8 +5,9 @@ they stand for, so "1d1оt" and "idiot" are one term. The lexicon is learned fro
 sample of labelled rows (SAMPLE, a documented parameter): terms are folded words and word
 stems of STEMS letters. Every term of SUPPORT toxic rows is counted in both classes by one
 aggregation; those of large log-odds that chance doesn't explain are candidates, however many
-and however rare. A greedy cover picks among them, and each weighs its log-odds. A phrase around a term that the clean
-rows use and the toxic ones don't is an exception: a match inside it doesn't count.
+and however rare. A greedy cover picks among them, and each weighs its log-odds. A phrase of a term and the
+word beside it that the clean rows use and the toxic ones don't is an exception, however many
+such phrases the sample has: a match inside it doesn't count.
 Scoring reads each whole text once: summed weights, and the same normalised by length, go
 through a logistic function fitted on the sample.
 
@@ -21,6 +22,7 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import json
 import math
@@ -28,6 +30,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +47,7 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a",
 #: Phrases that hold a term without being meant as one; more are learned.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish")
 FOLD = str.maketrans(HOMOGLYPHS | DIGITS | {"​": None, "‌": None, "‍": None, "­": None, "﻿": None})
-TOKEN = re.compile(r"[^\W\d_]+")
+TOKEN, AFTER = re.compile(r"[^\W\d_]+"), re.compile(r" ([^\W\d_]+)")
 
 
 def fold(text: str) -> str:
@@ -179,7 +182,9 @@ class Matcher:
                 if found and found[-1][0] == start:
                     weight = max(weight, found.pop()[2])
                 found.append((start, stop, weight))
-        return [m for m in found if not any(a <= m[0] and m[1] <= b for a, b in spared)]
+        spared.sort()
+        starts, reach = [a for a, _ in spared], [0, *accumulate((b for _, b in spared), max)]
+        return [m for m in found if reach[bisect.bisect_right(starts, m[0])] < m[1]]
 
     def features(self, text: str) -> tuple[float, float]:
         total = sum(m[2] for m in self.matches(text))
@@ -211,9 +216,12 @@ def _around(batches, model: str):
                 here = TOKEN.match(folded, start)
                 if not here:
                     continue
-                after = re.match(r" ([^\W\d_]+)", folded[here.end() : here.end() + 40])
-                before = re.search(r"([^\W\d_]+) $", folded[max(0, start - 40) : start])
-                for p in ([f"{here[0]} {after[1]}"] if after else []) + ([f"{before[1]} {here[0]}"] if before else []):
+                after = AFTER.match(folded, here.end())
+                at = start - 1
+                while at > 0 and TOKEN.match(folded, at - 1, at):
+                    at -= 1
+                before = folded[at : start - 1] if start and folded[start - 1] == " " else ""
+                for p in ([f"{here[0]} {after[1]}"] if after else []) + ([f"{before} {here[0]}"] if before else []):
                     out.setdefault(p, [0, 0])[bool(toxic)] += 1
         yield pa.record_batch([pa.array(list(out), pa.string()), pa.array([v[0] for v in out.values()], pa.int64()), pa.array([v[1] for v in out.values()], pa.int64())], names=["phrase", "clean", "toxic"])
 
@@ -236,7 +244,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPL
     n = known.count()
     part = min(1.0, sample / max(1, n))
     ids = known.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_000)) < int(part * 1_000_000))
-    rows = docs.where(train).where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    rows = docs.where(train).where("text is not null").select("doc_id", "text").join(ids, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
     rows = materialize(rows, "toxic-sample")
     model: dict = {"terms": {}, "exceptions": [], "logit": [0, 0, 0]}
     once = rows.distinct().withColumn("key", F.xxhash64("text"))
@@ -256,7 +264,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPL
     model["terms"] = _cover([r.hits for r in got], odds, names)
     text = json.dumps(model)
     around = rows.mapInArrow(lambda it: _around(it, text), "phrase string, clean long, toxic long").groupBy("phrase").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    spared = around.where("clean >= 5 and clean > 20 * toxic").orderBy(F.desc("clean"), "phrase").limit(500).collect()
+    spared = around.where("clean >= 5 and clean > 20 * toxic").orderBy("phrase").collect()
     model["exceptions"] = sorted({*map(fold, exceptions), *(r.phrase for r in spared)})
     text = json.dumps(model)
     got = rows.mapInArrow(lambda it: _features(it, text), "x double, y double, toxic int").toPandas()
