@@ -15,8 +15,9 @@ Rates are then rounded into copies: the sizes of a source line up, each takes th
 copies that fall into its stretch of the running sum of rates, and what the source then
 misses is made up from the largest sizes that fit in it, CORRECTIONS times. All that runs
 over the histogram. The documents of one source and size share their copies evenly by rank; ranks
-come from salted groups of at most GROUP documents, so neither a hot source nor a group of
-equal sizes meets in one task. A document takes at most 2 copies. Sums that decide are of
+come from groups of about GROUP documents, dealt by a hash of doc_id and text, so neither a
+hot source nor a group of equal sizes, ids or texts meets in one task; rows of one hash are
+equal, whichever of them is taken. A document takes at most 2 copies. Sums that decide are of
 integers, so reruns agree.
 
 Targets: sources by code point of their name, null last, weigh WEIGHTS, repeating; they share
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import WORD, materialize
 
-WEIGHTS, SHARE, LIMIT, ROUNDS, TOLERANCE, CORRECTIONS, GROUP, UNIT = (5, 2, 1), 1.5, 2.0, 40, 1e-6, 3, 20_000, 1 << 20
+WEIGHTS, SHARE, LIMIT, ROUNDS, TOLERANCE, CORRECTIONS, GROUP, UNIT = (5, 2, 1), 1.5, 2.0, 40, 1e-6, 3, 500, 1 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -114,7 +115,7 @@ def group_copies(per: DataFrame, rounds: int = CORRECTIONS) -> DataFrame:
 def mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The columns keep (doc_id if none are named), size, source_size, target, copies and taken of every row."""
     keep = keep or ["doc_id"]
-    salt = F.xxhash64(F.col("doc_id"), F.lit(10))
+    salt = F.xxhash64(F.lit(10), "doc_id", "text")
     inner = {c: f"_k{i}" for i, c in enumerate(keep)}
     key = [F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), salt.alias("hash")]
     if keep == ["doc_id"]:
