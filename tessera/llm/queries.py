@@ -58,17 +58,19 @@ def _secrets_sql() -> str:
 
 def _licenses_sql() -> str:
     t = op4_licenses.THRESHOLD
-    rows = ", ".join(f"('{k}', [{', '.join(chr(39) + g + chr(39) for g in op4_licenses.bigrams_of(v))}])" for k, v in op4_licenses.TEMPLATES.items())
-    normal = r"trim(regexp_replace(lower(u), '[^\p{L}\p{N}]+', ' ', 'g'))"
-    return f"""with templates(license, grams) as (values {rows}),
-    lines as (select doc_id, coalesce(text, '') as t, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(trim(x, ' ')) > 0) as l from documents),
-    units as (select doc_id, unnest(case when len(l) > 1 then list_append(l, t) else l end) as u from lines),
-    words as (select doc_id, string_split({normal}, ' ') as w from units),
-    grams as (select doc_id, case when len(w) < 2 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1])) end as g from words where w[1] <> ''),
-    scores as (select row_number() over () as unit, doc_id, g from grams),
-    hits as (select unit, doc_id, license, 2.0 * len(list_intersect(s.g, t.grams)) / (len(s.g) + len(t.grams)) as dice from scores s, templates t),
-    best as (select doc_id, arg_min(license, (-dice, license)) as license, max(dice) as dice, count(distinct unit) as n from hits where dice >= {t} group by doc_id)
-    select d.doc_id, b.license, coalesce(round(b.dice, 6), 0.0)::DOUBLE as dice, coalesce(b.n, 0)::BIGINT as n_matches from documents d left join best b using (doc_id)"""
+    rows = ", ".join(f"('{k}', {len(op4_licenses.words_of(v)) - 1}, [{', '.join(chr(39) + g + chr(39) for g in op4_licenses.bigrams_of(v))}])" for k, v in op4_licenses.TEMPLATES.items())
+    normal = r"trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'))"
+    return f"""with templates(name, l, own) as (values {rows}),
+    listed as (select name, unnest(own) as g from templates),
+    words as (select row_number() over () as r, doc_id, string_split({normal}, ' ') as w from documents),
+    grams as (select r, doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1]) as gs from words),
+    each as (select r, unnest(gs) as g, unnest(range(1, len(gs) + 1)) as i from grams),
+    hits as (select r, name, i, g from each join listed using (g)),
+    held as (select r, name from hits join templates using (name) group by r, name, len(own) having count(distinct g) >= {t} / (2 - {t}) * len(own)),
+    windows as (select h.r, h.name, h.i, list_distinct(gs[h.i:h.i+l-1]) as w, own from hits h join held using (r, name) join templates using (name) join grams using (r)),
+    scores as (select r, name, i, 2.0::DOUBLE * len(list_intersect(w, own)) / (len(w) + len(own)) as dice from windows),
+    best as (select r, arg_min(name, (-dice, name, i)) as name, max(dice) as dice, arg_min(i, (-dice, name, i)) as i, count(distinct split_part(name, ':', 1)) as n from scores where dice >= {t} group by r)
+    select doc_id, split_part(name, ':', 1) as license, coalesce(round(dice, 6), 0.0)::DOUBLE as dice, coalesce(i - 1, -1)::BIGINT as start_word, coalesce(n, 0)::BIGINT as n_licenses from grams left join best using (r)"""
 
 
 EMBEDDINGS_SQL = f"""with recursive v as (select vec_id, label, embedding::DOUBLE[] as e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) as n from embeddings
