@@ -199,14 +199,33 @@ def free_rectangles(box: tuple, taken: np.ndarray, min_w: float, min_h: float) -
 
 def free_polygons(box: tuple, taken: np.ndarray) -> list[dict]:
     """What rectangles leave free: connected parts as outer rings with holes, over the grid of all sides."""
+    xs, ys, covered = _covered(box, taken)
+    return _outlines(xs, ys, ~covered)
+
+
+def joined(boxes: list[tuple]) -> list[dict]:
+    """The union of rectangles (x0, y0, x1, y1): connected parts as outer rings with holes."""
+    b = np.asarray(boxes, float).reshape(-1, 4)
+    if not len(b):
+        return []
+    return _outlines(*_covered((*b[:, :2].min(0), *b[:, 2:].max(0)), b))
+
+
+def _covered(box: tuple, taken: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The grid of all sides, and which of its cells rectangles cover."""
     x0, y0, x1, y1 = box
     taken = np.asarray(taken, float).reshape(-1, 4)
     xs = np.unique(np.clip(np.concatenate([[x0, x1], taken[:, [0, 2]].ravel()]), x0, x1))
     ys = np.unique(np.clip(np.concatenate([[y0, y1], taken[:, [1, 3]].ravel()]), y0, y1))
     cx, cy = (xs[1:] + xs[:-1]) / 2, (ys[1:] + ys[:-1]) / 2
-    free = np.ones((len(cx), len(cy)), bool)
+    covered = np.zeros((len(cx), len(cy)), bool)
     for a, b, c, d in taken.tolist():
-        free[np.ix_((cx > a) & (cx < c), (cy > b) & (cy < d))] = False
+        covered[np.ix_((cx > a) & (cx < c), (cy > b) & (cy < d))] = True
+    return xs, ys, covered
+
+
+def _outlines(xs: np.ndarray, ys: np.ndarray, free: np.ndarray) -> list[dict]:
+    """The connected cells of a grid, largest first."""
     part, n = np.full(free.shape, -1), 0
     for i, j in zip(*np.nonzero(free), strict=True):
         if part[i, j] < 0:

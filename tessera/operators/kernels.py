@@ -13,6 +13,12 @@ from tessera.config import Surrogate
 from tessera.kernels import geometry as G
 from tessera.kernels import repair as Q
 from tessera.kernels import search as K
+from tessera.schema import RING
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Small rows of much work each: dealt to as many tasks as a shuffle has, which adaptive execution does not join."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
 
 
 def per_ring(rows: DataFrame, schema: str, fn: Callable[[int, np.ndarray], list[tuple]]) -> DataFrame:
@@ -24,7 +30,18 @@ def per_ring(rows: DataFrame, schema: str, fn: Callable[[int, np.ndarray], list[
             out = [r for i, ring in zip(f["id"], f["ring"], strict=True) for r in fn(int(i), np.array([(p["x"], p["y"]) for p in ring]))]
             yield pd.DataFrame(out, columns=names)
 
-    return rows.select("id", "ring").mapInPandas(run, schema)
+    return _spread(rows.select("id", "ring")).mapInPandas(run, schema)
+
+
+def rings_from(rows: DataFrame, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """rows (id, ring) with the ring after that fn gives for it."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            new = [fn(np.array([(p["x"], p["y"]) for p in ring])).tolist() for ring in f["ring"]]
+            yield pd.DataFrame({"id": f["id"], "ring": f["ring"], "after": [[{"x": x, "y": y} for x, y in r] for r in new]})
+
+    return _spread(rows.select("id", "ring")).mapInPandas(run, f"id long, ring {RING}, after {RING}")
 
 
 def poles(rows: DataFrame, limits: tuple = Surrogate.pole_limits) -> DataFrame:
@@ -78,9 +95,10 @@ def lattices(rows: DataFrame, gap: float, sheet: tuple[float, float], directions
 TOGETHER = 64
 
 
-def per_group(rows: DataFrame, key: str, schema: str, fn: Callable[[int, pd.DataFrame], list[tuple]], order: list[str]) -> DataFrame:
-    """fn(key, its rows, sorted by order) -> rows, for every value of an integer key."""
-    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+def per_group(rows: DataFrame, key: str, schema: str, fn: Callable[[int, pd.DataFrame], list[tuple]], order: list[str], together: int = TOGETHER) -> DataFrame:
+    """fn(key, its rows, sorted by order) -> rows, for every value of an integer key, so many of them at a time."""
+    fields = schema.split("|" if "|" in schema else ",")  # bars part the columns where types have commas
+    names, schema = [f.strip().split(" ")[0] for f in fields], ", ".join(fields)
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values([key, *order], ignore_index=True)
@@ -88,7 +106,9 @@ def per_group(rows: DataFrame, key: str, schema: str, fn: Callable[[int, pd.Data
         out = [r for s, e in zip(cut[:-1], cut[1:], strict=True) for r in fn(int(f[key].iloc[s]), f.iloc[s:e])]
         return pd.DataFrame(out, columns=names)
 
-    return rows.groupBy(F.floor(F.col(key) / TOGETHER)).applyInPandas(run, schema)
+    # a number of its own, as in _spread
+    group, n = F.floor(F.col(key) / together), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, group).groupBy(group).applyInPandas(run, schema)
 
 
 def shelves(parts: DataFrame, sheet: tuple[float, float], gap: float) -> DataFrame:
@@ -145,6 +165,28 @@ def polygon_offcuts(placed: DataFrame, sheet: tuple[float, float]) -> DataFrame:
     return per_group(placed, "sheet", "sheet long, k int, area double, vertices int, holes int", one, _BOX)
 
 
+def offcuts_by_policy(placed: DataFrame, sheet: tuple[float, float], min_w: float, min_h: float, shape: str) -> DataFrame:
+    """(sheet, k, area, outer, holes) of what placed leaves: RECTANGLE, or RECTANGLE_MERGED (those joined where they touch), or QUADRILATERAL (free parts as they are, of a box of the least size at least)."""
+    if shape not in ("RECTANGLE", "RECTANGLE_MERGED", "QUADRILATERAL"):
+        raise ValueError(f"unknown shape of offcuts: {shape}")
+
+    def ring(v: np.ndarray) -> list[dict]:
+        return [{"x": x, "y": y} for x, y in v.tolist()]
+
+    def one(key: int, f: pd.DataFrame) -> list[tuple]:
+        whole, taken = (0.0, 0.0, *sheet), f[_BOX].to_numpy()
+        if shape == "QUADRILATERAL":
+            parts = [p for p in G.free_polygons(whole, taken) if (np.ptp(p["outer"], axis=0) >= (min_w, min_h)).all()]
+        else:
+            free = G.free_rectangles(whole, taken, min_w, min_h)
+            if shape == "RECTANGLE":
+                return [(key, k, (c - a) * (d - b), ring(np.array([(a, b), (c, b), (c, d), (a, d)])), []) for k, (a, b, c, d) in enumerate(free)]
+            parts = G.joined(free)
+        return [(key, k, p["area"], ring(p["outer"]), [ring(h) for h in p["holes"]]) for k, p in enumerate(parts)]
+
+    return per_group(placed, "sheet", f"sheet long| k int| area double| outer {RING}| holes array<{RING}>", one, _BOX)
+
+
 def parsed(rows: DataFrame) -> DataFrame:
     """rows (id, path) -> (id, k, vertices, area) of each ring, the outer one first."""
     from tessera.kernels.svgpath import rings

@@ -2,7 +2,8 @@
 
 Both sides list the cells that their boxes touch; a pair counts only in the cell of the
 lower left corner of the boxes' intersection, which both touch, so no distinct is needed.
-Shapes over MANY cells skip the grid: they join on the partition key alone.
+Shapes over MANY cells skip the grid: they join on the partition key alone, in joins that are
+left out where the greatest box is too small for that.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from tessera.functions import rect as R
 MANY = 256
 
 
-def cell_size(shapes: DataFrame, prefix: str) -> float:
-    """The 90th percentile of box sides, measured."""
+def extents(shapes: DataFrame, prefix: str) -> tuple[float, float, float]:
+    """Measured: the 90th percentile of box sides, and the greatest width and height."""
     r = R.rect(prefix)
-    got = shapes.agg(F.percentile_approx(F.greatest(R.width(r), R.height(r)), 0.9)).first()[0]
-    return max(float(got or 0.0), 1e-6)
+    got = shapes.agg(F.percentile_approx(F.greatest(R.width(r), R.height(r)), 0.9), F.max(R.width(r)), F.max(R.height(r))).first()
+    return max(float(got[0] or 0.0), 1e-6), float(got[1] or 0.0), float(got[2] or 0.0)
 
 
 def _count(prefix: str, cell: float) -> Column:
@@ -43,7 +44,9 @@ def _cells(df: DataFrame, prefix: str, cell: float) -> tuple[DataFrame, DataFram
 
 def spatial_join(a: DataFrame, b: DataFrame, exact: Callable[[], Column] | None = None, key: tuple[str, str] = ("a_sheet", "b_sheet"), cell: float | None = None) -> DataFrame:
     """Pairs of rows of a (columns a_x_min ... a_y_max) and b (b_x_min ...) of equal key whose boxes and, if given, exact() meet."""
-    cell = cell or max(cell_size(a, "a_"), cell_size(b, "b_"))
+    sizes = [extents(a, "a_"), extents(b, "b_")]
+    cell = cell or max(x[0] for x in sizes)
+    large = [(w / cell + 2) * (h / cell + 2) > MANY for _, w, h in sizes]
     ra, rb = R.rect("a_"), R.rect("b_")
     meet = R.overlaps(ra, rb)
     if exact is not None:
@@ -53,8 +56,10 @@ def spatial_join(a: DataFrame, b: DataFrame, exact: Callable[[], Column] | None
     fa = fa.withColumnsRenamed({"_cx": "_ax", "_cy": "_ay"})
     home = (F.col("_ax") == F.floor(F.greatest(ra.x0, rb.x0) / cell)) & (F.col("_ay") == F.floor(F.greatest(ra.y0, rb.y0) / cell))
     pairs = fa.join(fb, same & (F.col("_ax") == F.col("_cx")) & (F.col("_ay") == F.col("_cy")) & home & meet).drop("_ax", "_ay", "_cx", "_cy")
-    # large shapes: of a against all of b, of b against those of a that the grid holds
-    return pairs.unionByName(ma.join(b, same & meet)).unionByName(_small(a, "a_", cell).join(mb, same & meet))
+    # large shapes, if there can be any: of a against all of b, of b against those of a that the grid holds
+    if large[0]:
+        pairs = pairs.unionByName(ma.join(b, same & meet))
+    return pairs.unionByName(_small(a, "a_", cell).join(mb, same & meet)) if large[1] else pairs
 
 
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:

@@ -38,6 +38,14 @@ def checked(parts: DataFrame, sheet: tuple[float, float], gap: float) -> DataFra
     return parts.withColumn("error", F.when(F.lit(min(sheet) <= gap), small).when(~fits(F.col("w"), F.col("h"), F.col("angles"), sheet, gap), text))
 
 
+def _shared(spark) -> str:
+    """spark.checkpoint.dir; a local folder only in local mode, where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return root or tempfile.mkdtemp(prefix="tessera-")
+
+
 def _written(df: DataFrame, root: str) -> DataFrame:
     path = f"{root}/{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -73,7 +81,7 @@ def adaptive(parts: DataFrame, sheet: tuple[float, float], gap: float, wave: int
     `seconds`. Parts that fit no sheet are left out; requests of only such have no rows.
     """
     spark = parts.sparkSession
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tessera-')}/waves-{uuid.uuid4().hex}"
+    root = f"{_shared(spark)}/waves-{uuid.uuid4().hex}"
     area = (F.col("w") + gap) * (F.col("h") + gap) * F.col("demand")
     asked = parts.groupBy("request").agg(F.sum("demand").alias("asked"), F.ceil(F.sum(area) / (sheet[0] * sheet[1])).alias("floor"))
     best = _written(asked.select("request", "asked", "floor", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("pages"), F.lit(0).alias("idle"), F.lit(None).cast(PLACED).alias("placed")), root)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import edge as E
 from tessera.functions import ring as P
 from tessera.functions import svg as G
+from tessera.kernels import repair as Q
 from tessera.operators import hazards as H
 from tessera.operators import kernels as K
 from tessera.operators import packing
@@ -69,19 +71,35 @@ FIT_CHECK = ctes("g_item") + f""" select id, case when not (grain <> 2 and w <=
 
 
 def surrogates(s, d):
-    return K.surrogates(view(s, d, "g_poly"))
+    """Poles and piers: circles inside, segments that meet no edge, as many piers as were asked for."""
+    rows = view(s, d, "g_poly")
+    got = K.surrogates(rows).join(rows, "id")
+    ring = F.col("ring")
+    circle = P.has_point(ring, F.col("a"), F.col("b")) & (P.distance(ring, F.col("a"), F.col("b")) >= F.col("c") - 1e-6)
+    middle = P.has_point(ring, (F.col("a") + F.col("c")) / 2, (F.col("b") + F.col("d")) / 2)
+    clear = ~F.exists(P.edges(ring), lambda e: E.collides(P.as_edge(e), E.Edge(F.col("a"), F.col("b"), F.col("c"), F.col("d"))))
+    return got.groupBy("id").agg(F.sum(F.col("kind").cast("long")).alias("piers"), F.min(F.when(F.col("kind") == 0, circle).otherwise(middle & clear)).alias("inside"))
 
 
 def decimate(s, d):
-    return K.decimated(view(s, d, "g_poly"), 4.0)
+    """Fewer corners of the ring's own, none that is gone farther than the tolerance from what is left."""
+    got = K.rings_from(view(s, d, "g_poly"), lambda v: Q.decimate(v, 4.0))
+    near = F.forall(F.array_except("ring", "after"), lambda p: P.distance(F.col("after"), p["x"], p["y"]) <= 4.0 + 1e-6)
+    return got.select("id", F.size("ring").alias("before"), (F.size("after") >= 3).alias("ring_left"), (F.size(F.array_except("after", "ring")) == 0).alias("kept"), near.alias("near"))
 
 
 def close_bays(s, d):
-    return K.without_bays(view(s, d, "g_poly"), 0.5, 0.1)
+    """Corners go, area comes, no corner that is gone lies outside, nothing crosses."""
+    got = K.rings_from(view(s, d, "g_poly"), lambda v: Q.close_bays(v, 0.5, 0.1))
+    after = F.col("after")
+    within = F.forall(F.array_except("ring", "after"), lambda p: P.has_point(after, p["x"], p["y"]) | (P.distance(after, p["x"], p["y"]) < 1e-6))
+    return got.select("id", F.size("ring").alias("before"), (P.signed_area(after) >= P.signed_area(F.col("ring")) - 1e-9).alias("grows"), within.alias("within"), (F.size(P.crossings(after)) == 0).alias("simple"))
 
 
 def sanitize(s, d):
-    return K.sanitized(bent(s, d))
+    """Rings with a crossing come out without one, with corners of their own alone."""
+    got = K.rings_from(bent(s, d), Q.sanitize)
+    return got.select("id", (F.size("after") >= 3).alias("ring_left"), (F.size(F.array_except("after", "ring")) == 0).alias("kept"), ((F.size(P.crossings(F.col("after"))) == 0) | (F.size("after") == F.size("ring"))).alias("simple"))
 
 
 def adaptive_waves(s, d):
@@ -129,10 +147,10 @@ QUERIES = {
     "q70_cell_presence": (cell_presence, CELL_PRESENCE),
     "q71_strongest_hazard": (strongest_hazard, STRONGEST),
     "q72_fit_check": (fit_check, FIT_CHECK),
-    "q73_surrogates": (surrogates, None),
-    "q74_decimate": (decimate, None),
-    "q75_close_bays": (close_bays, None),
-    "q76_sanitize": (sanitize, None),
+    "q73_surrogates": (surrogates, ctes("g_poly") + " select id, 2::BIGINT as piers, true as inside from g_poly"),
+    "q74_decimate": (decimate, ctes("g_poly") + " select id, len(ring)::INTEGER as before, true as ring_left, true as kept, true as near from g_poly"),
+    "q75_close_bays": (close_bays, ctes("g_poly") + " select id, len(ring)::INTEGER as before, true as grows, true as within, true as simple from g_poly"),
+    "q76_sanitize": (sanitize, ctes("g_poly") + " select id, true as ring_left, true as kept, true as simple from g_poly"),
     "q77_adaptive_waves": (adaptive_waves, NESTED),
     "q78_unplaced_grid": (unplaced_grid, UNPLACED),
     "q79_kerf_bands": (kerf_bands, KERF),

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tessera.ship import ship
 
-MODULES = ("shapes", "collisions", "totals", "packs", "texts", "searches", "hazards")
+MODULES = ("shapes", "collisions", "totals", "packs", "texts", "searches", "hazards", "nesting")
 
 
 def _all() -> dict:

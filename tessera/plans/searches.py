@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tessera.config import Search
+from tessera.functions import ring as P
+from tessera.kernels import geometry as G
 from tessera.operators import kernels as K
+from tessera.operators.spatial import collect
 from tessera.plans.views import ctes, view
 
 
@@ -13,20 +18,54 @@ from tessera.plans.views import ctes, view
 SAMPLES = Search.samples
 
 
+#: Facts about kernels' results are found by Column functions that have SQL of their own; SQL says for which rows they hold.
+def _facts(name: str, *facts: str) -> str:
+    return ctes(name) + " select id, " + ", ".join(f"true as {f}" for f in facts) + f" from {name}"
+
+
 def pole(s, d):
-    return K.poles(view(s, d, "g_poly"))
+    """Poles: inside, apart, as large as the boundary lets the first be, and enough of them."""
+    rows = view(s, d, "g_poly")
+    per = K.poles(rows).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "cx", "cy", "r"))).alias("c")).join(rows, "id")
+    far = lambda a, b: F.sqrt((a["cx"] - b["cx"]) * (a["cx"] - b["cx"]) + (a["cy"] - b["cy"]) * (a["cy"] - b["cy"]))
+    clear = F.forall("c", lambda c: P.has_point(F.col("ring"), c["cx"], c["cy"]) & (P.distance(F.col("ring"), c["cx"], c["cy"]) >= c["r"] - 1e-6))
+    apart = F.forall("c", lambda a: F.forall("c", lambda b: (a["k"] >= b["k"]) | (far(a, b) >= a["r"] + b["r"] - 1e-6)))
+    falling = F.forall(F.sequence(F.lit(1), F.greatest(F.size("c") - 1, F.lit(1))), lambda i: F.coalesce(F.get("c", i)["r"] <= F.get("c", i - 1)["r"] + 0.1, F.lit(True)))
+    covered = F.aggregate("c", F.lit(0.0), lambda x, c: x + math.pi * c["r"] * c["r"]) / P.signed_area(F.col("ring"))
+    return per.select("id", clear.alias("inside"), apart.alias("apart"), falling.alias("falling"), ((covered > 0.5) & (covered <= 1)).alias("covering"))
+
+
+def _checked(rows, keep: tuple, **facts):
+    return rows.select("id", *keep, *[c.alias(k) for k, c in facts.items()])
 
 
 def simplify(s, d):
-    return K.simplified(view(s, d, "g_poly"))
+    """Fewer corners, none cut off, a twentieth of area more at most."""
+    rows, share = view(s, d, "g_poly"), 0.05
+    got = K.rings_from(rows, lambda v: G.simplify(v, share))
+    was, now = P.signed_area(F.col("ring")), P.signed_area(F.col("after"))
+    kept = F.size(F.array_except("after", "ring")) == 0
+    return _checked(got, (F.size("ring").alias("before"),), kept=kept, grows=(now >= was - 1e-9) & (now <= was * (1 + share) + 1e-9), simple=F.size(P.crossings(F.col("after"))) == 0)
+
+
+SIMPLIFIED = ctes("g_poly") + " select id, len(ring)::INTEGER as before, true as kept, true as grows, true as simple from g_poly"
 
 
 def offset(s, d):
-    return K.offset(view(s, d, "g_poly"), 1.0)
+    """A ring around a ring: no corner is nearer than the distance allows at round joins, none crosses, all old corners are inside."""
+    got = K.rings_from(view(s, d, "g_poly"), lambda v: G.offset(v, 1.0))
+    near = F.forall("after", lambda p: P.distance(F.col("ring"), p["x"], p["y"]) >= 0.2)
+    within = F.forall("ring", lambda p: P.has_point(F.col("after"), p["x"], p["y"]))
+    return _checked(got, (), wider=P.signed_area(F.col("after")) > P.signed_area(F.col("ring")), near=near, within=within, simple=F.size(P.crossings(F.col("after"))) == 0)
 
 
 def lattice(s, d):
-    return K.lattices(view(s, d, "g_poly"), 1.0, (400.0, 300.0))
+    """Steps of lattices: no neighbour of a copy, three steps around, collides with it; copies on a sheet lie inside."""
+    rows = K.lattices(view(s, d, "g_poly"), 1.0, (400.0, 300.0)).join(view(s, d, "g_poly"), "id")
+    steps = F.array(*[F.struct((F.col("ax") * i + F.col("bx") * j).alias("x"), (F.col("ay") * i + F.col("by") * j).alias("y")) for i in range(-2, 3) for j in range(0, 3) if j > 0 or i > 0])
+    clear = F.forall(steps, lambda t: ~P.collides(F.col("ring"), F.transform("ring", lambda p: F.struct((p["x"] + t["x"]).alias("x"), (p["y"] + t["y"]).alias("y")))))
+    cell = F.abs(F.col("ax") * F.col("by") - F.col("ay") * F.col("bx"))
+    return rows.select("id", clear.alias("clear"), (F.abs(F.col("density") * cell - P.signed_area(F.col("ring"))) < 1e-6).alias("density_holds"), ((F.col("copies") > 0) & (F.col("copies") * P.signed_area(F.col("ring")) <= 120_000)).alias("fits"))
 
 
 def _requests(s, d):
@@ -40,16 +79,53 @@ def shelf_pack(s, d):
     return K.shelves(_requests(s, d), (60.0, 40.0), 1.0)
 
 
-def lbf_bin(s, d):
-    return K.fill_bins(_requests(s, d), [(1, 60.0, 40.0, 2), (2, 90.0, 60.0, 99)], 1.0, samples=SAMPLES)
+def _placed_facts(rows, page, width, height: float, gap: float):
+    """Per request: parts placed, pairs nearer than the gap, parts outside."""
+    grown = rows.select("request", page.alias("sheet"), F.monotonically_increasing_id().alias("id"), F.col("x_min").alias("x_min"), "y_min", (F.col("x_max") + gap - 1e-6).alias("x_max"), (F.col("y_max") + gap - 1e-6).alias("y_max"), width.alias("_w"))
+    close = collect(grown, grown, None, F.col("a_id") >= F.col("b_id")).groupBy(F.col("a_request").alias("request")).agg(F.count("*").alias("close"))
+    out = (F.col("x_min") < -1e-6) | (F.col("y_min") < -1e-6) | (F.col("x_max") - gap > F.col("_w") + 1e-6) | (F.col("y_max") - gap > height + 1e-6)
+    return grown.groupBy("request").agg(F.count("*").alias("placed"), F.sum(out.cast("long")).alias("outside")).join(close, "request", "left").withColumn("close", F.coalesce("close", F.lit(0)).cast("long"))
 
 
-def lbf_strip(s, d):
-    return K.fill_strips(_requests(s, d), 60.0, 1.0, samples=SAMPLES)
+def left_bottom_bins(s, d):
+    rows = K.fill_bins(_requests(s, d), [(1, 60.0, 40.0, 2), (2, 90.0, 60.0, 99)], 1.0, samples=SAMPLES).persist()
+    return _placed_facts(rows, F.col("request") * 1000 + F.col("layout"), F.when(F.col("bin") == 1, 60.0).otherwise(90.0), 60.0, 1.0)
+
+
+def left_bottom_strips(s, d):
+    """Every part of a request in a strip as wide as they need, at most the sum of their widths."""
+    asked = _requests(s, d)
+    got = K.fill_strips(asked, 60.0, 1.0, samples=SAMPLES)
+    most = asked.groupBy("request").agg(F.sum((F.col("w") + 2) * F.col("demand")).alias("most"), F.max("w").alias("least"))
+    return got.join(most, "request").select("request", F.col("placed").cast("long").alias("placed"), ((F.col("width") >= F.col("least")) & (F.col("width") <= F.col("most") * 1.1)).alias("width_holds"), ((F.col("density") > 0) & (F.col("density") <= 1)).alias("dense"))
+
+
+_LINES = "select l_orderkey as request, count(*) as placed{} from lineitem group by l_orderkey"
 
 
 def rect_offcuts(s, d):
-    return K.offcuts(view(s, d, "g_placement"), (320.0, 50.0), 12.0, 12.0)
+    """Per sheet: offcuts that meet shapes or one another, or are too small."""
+    p = view(s, d, "g_placement")
+    got = K.offcuts(p, (320.0, 50.0), 12.0, 12.0).persist()
+    inner = lambda df, kind: df.select("sheet", F.lit(kind).alias("kind"), F.monotonically_increasing_id().alias("id"), *[(F.col(c) + e).alias(c) for c, e in (("x_min", 1e-6), ("y_min", 1e-6), ("x_max", -1e-6), ("y_max", -1e-6))])
+    free = inner(got, 0)
+    bad = collect(free, inner(p, 1)).select("a_sheet").unionAll(collect(free, free, None, F.col("a_id") >= F.col("b_id")).select("a_sheet")).groupBy(F.col("a_sheet").alias("sheet")).agg(F.count("*").alias("bad"))
+    small = (F.col("x_max") - F.col("x_min") < 12) | (F.col("y_max") - F.col("y_min") < 12)
+    per = got.groupBy("sheet").agg(F.sum(small.cast("long")).alias("small"), F.min(F.when(F.col("k") == 0, (F.col("x_max") - F.col("x_min")) * (F.col("y_max") - F.col("y_min")))).alias("first"), F.max((F.col("x_max") - F.col("x_min")) * (F.col("y_max") - F.col("y_min"))).alias("largest"))
+    return per.join(bad, "sheet", "left").select("sheet", F.coalesce("bad", F.lit(0)).cast("long").alias("bad"), "small", (F.col("first") == F.col("largest")).alias("largest_first"))
+
+
+#: Placements take no more than 280 of 320 in width, so that a rectangle of 12 by 12 is always left.
+OFFCUTS = ctes("g_placement") + " select distinct sheet, 0::BIGINT as bad, 0::BIGINT as small, true as largest_first from g_placement"
+
+#: Next-fit shelves, a part after the other, tallest first.
+SHELVES = ctes("g_item") + """, l as (select l_orderkey as request, id, w, h from lineitem join g_item on l_partkey = id where w <= 60 and h <= 40),
+ n as (select *, row_number() over (partition by request order by h desc, id, w) as k from l),
+ recursive_shelves as (with recursive s(request, k, id, w, h, page, x, y, tall) as (
+   select request, k, id, w, h, 0, 0.0::DOUBLE, 0.0::DOUBLE, h from n where k = 1
+   union all select request, k, id, w, h, case when over then page + 1 else page end, case when over then 0.0 else x end, case when over then 0.0 else y end, case when over or turned then h else greatest(tall, h) end
+   from (select *, y + h > 40 as over from (select n.request, n.k, n.id, n.w, n.h, s.page, s.x + s.w + 1 + n.w > 60 as turned, case when s.x + s.w + 1 + n.w > 60 then 0.0 else s.x + s.w + 1 end as x, case when s.x + s.w + 1 + n.w > 60 then s.y + s.tall + 1 else s.y end as y, s.tall from s join n on n.request = s.request and n.k = s.k + 1))) select * from s)
+ select request, id, page::INTEGER as page, x, y from recursive_shelves"""
 
 
 def poly_offcuts(s, d):
@@ -61,26 +137,31 @@ FREE = ctes("g_placement") + """, c as (select distinct sheet, x, unnest(range(y
  select sheet, round(16000.0::DOUBLE - count(*), 4) as area from c group by sheet"""
 
 QUERIES = {
-    "q57_pole": (pole, None),
-    "q58_simplify": (simplify, None),
-    "q59_offset": (offset, None),
-    "q60_lattice": (lattice, None),
-    "q61_shelf_pack": (shelf_pack, None),
-    "q62_lbf_bin": (lbf_bin, None),
-    "q63_lbf_strip": (lbf_strip, None),
-    "q64_rect_offcuts": (rect_offcuts, None),
+    "q57_pole": (pole, _facts("g_poly", "inside", "apart", "falling", "covering")),
+    "q58_simplify": (simplify, SIMPLIFIED),
+    "q59_offset": (offset, _facts("g_poly", "wider", "near", "within", "simple")),
+    "q60_lattice": (lattice, _facts("g_poly", "clear", "density_holds", "fits")),
+    "q61_shelf_pack": (shelf_pack, SHELVES),
+    "q62_left_bottom_bins": (left_bottom_bins, _LINES.format(", 0::BIGINT as outside, 0::BIGINT as close")),
+    "q63_left_bottom_strips": (left_bottom_strips, _LINES.format(", true as width_holds, true as dense")),
+    "q64_rect_offcuts": (rect_offcuts, OFFCUTS),
     "q65_poly_offcuts": (poly_offcuts, FREE),
 }
 
 
 def svg_parse(s, d):
-    """Paths with curves, arcs and relative commands of every polygon, parsed to rings."""
+    """Paths with arcs and relative commands of every polygon, parsed to rings: the outline, then a hole of two arcs."""
     from tessera.functions import svg as G
 
     p = F.col("ring")
     hole = F.format_string(" M %.4f %.4f a 2 2 0 1 0 4 0 a 2 2 0 1 0 -4 0 z", (F.col("id") * 61) % 1000 - F.lit(2.0), (F.col("id") * 17) % 1000 * 1.0)
     rows = view(s, d, "g_poly").select("id", F.concat(G.path(p), hole).alias("path"))
-    return K.parsed(rows)
+    return K.parsed(rows).select("id", "k", "vertices", F.round("area", 3).alias("area"))
+
+
+#: A circle of radius 2 in 32 steps, clockwise as a hole.
+SVG_RINGS = ctes("g_poly") + """, v as (select id, unnest(range(1, 13)) as i, ring from g_poly), a as (select id, sum(ring[i].x * ring[i % 12 + 1].y - ring[i % 12 + 1].x * ring[i].y) / 2 as area from v group by id)
+ select id, 0::INTEGER as k, 12::INTEGER as vertices, round(area, 3) as area from a union all select id, 1, 32, round(-64 * sin(pi() / 16), 3) from a"""
 
 
 def nest_router(s, d):
@@ -101,4 +182,4 @@ def nested_parts(s, d):
     return nest_router(s, d).select("request", "parts")
 
 
-QUERIES |= {"q67_nest_router": (nested_parts, NESTED), "q68_svg_parse": (svg_parse, None)}
+QUERIES |= {"q67_nest_router": (nested_parts, NESTED), "q68_svg_parse": (svg_parse, SVG_RINGS)}

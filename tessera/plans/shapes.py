@@ -126,6 +126,15 @@ def bounding_circle(s, d):
     return groups.select("team", F.round(b["cx"], 4).alias("cx"), F.round(b["cy"], 4).alias("cy"), F.round(b["r"], 4).alias("r"), F.round(C.area(C.Circle(b["cx"], b["cy"], b["r"])), 2).alias("area"))
 
 
+#: A fold over the circles of a team: each that is not inside yet widens the last one just enough.
+_FAR = "sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2)"
+_WIDER = f"(({_FAR} + p.r + q.r) / 2)"
+_PART = f"case when {_FAR} > 0 then ({_WIDER} - p.r) / {_FAR} else 0 end"
+BOUNDING = ctes("g_circle") + f""", t as (select floor(id / 8)::BIGINT as team, list({{'x': cx, 'y': cy, 'r': r}} order by id) as circles from g_circle group by 1),
+ w as (select team, list_reduce(circles, lambda p, q: case when {_FAR} + q.r <= p.r then p when {_FAR} + p.r <= q.r then q else {{'x': p.x + (q.x - p.x) * {_PART}, 'y': p.y + (q.y - p.y) * {_PART}, 'r': {_WIDER}}} end) as b from t)
+ select team, round(b.x, 4) as cx, round(b.y, 4) as cy, round(b.r, 4) as r, round(pi() * b.r * b.r, 2) as area from w"""
+
+
 def edge_edge(s, d):
     a, b = E.edge("a_"), E.edge("b_")
     x, y = E.meeting(a, b)
@@ -302,7 +311,7 @@ QUERIES = {
     "q07_circle_circle": (circle_circle, CIRCLE_CIRCLE),
     "q08_circle_rect": (circle_rect, CIRCLE_RECT),
     "q09_circle_edge": (circle_edge, CIRCLE_EDGE),
-    "q10_bounding_circle": (bounding_circle, None),
+    "q10_bounding_circle": (bounding_circle, BOUNDING),
     "q11_edge_edge_intersection": (edge_edge, EDGE_EDGE),
     "q12_edge_rect": (edge_rect, EDGE_RECT),
     "q13_edge_point_distance": (edge_point, EDGE_POINT),

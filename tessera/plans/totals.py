@@ -69,7 +69,7 @@ def placement_order(s, d):
 ORDER = ctes("g_item") + " select id, min_quality, row_number() over (partition by min_quality order by w * w + h * h desc, id)::INTEGER as place from g_item"
 
 
-def lbf_top1(s, d):
+def left_bottom_top1(s, d):
     """The free candidate of least 10 x + y in every sheet: candidates of kind 0, hazards of kind 1."""
     rects = view(s, d, "g_rect")
     free = S.detect(rects.where("kind = 0"), rects.where("kind = 1")).where(~F.col("hit"))
@@ -107,7 +107,7 @@ QUERIES = {
     "q35_fit_strip": (fit_strip, FIT),
     "q36_utilisation_pages": (utilisation_pages, PAGES),
     "q37_placement_order": (placement_order, ORDER),
-    "q38_lbf_top1": (lbf_top1, TOP1),
+    "q38_left_bottom_top1": (left_bottom_top1, TOP1),
     "q39_wave_winner": (wave_winner, WINNER),
     "q66_solution_density": (solution_density, SOLUTION),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 
@@ -25,24 +26,58 @@ def files(spark: SparkSession, path: str, bound: int = 100) -> DataFrame:
 
 
 def _cancel(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, ttl: int) -> Iterator[pd.DataFrame]:
+    """The state is when the id was cancelled last; requests don't renew it."""
     if state.hasTimedOut:
         state.remove()
         return
-    cancelled = state.exists
+    now = state.getCurrentProcessingTimeMs()
+    at = state.get[0] if state.exists else None
     for f in frames:
-        cancelled = cancelled or bool(f["cancel"].any())
+        if f["cancel"].any():
+            at = now
         live = f[~f["cancel"]]
         if len(live):
-            yield pd.DataFrame({"id": key[0], "value": live["value"], "dropped": cancelled})
-    if cancelled:
-        state.update((True,))
-        state.setTimeoutDuration(ttl * 1000)
+            yield pd.DataFrame({"id": live["id"], "value": live["value"], "dropped": at is not None and now - at <= ttl * 1000})
+    if at is not None and now - at < ttl * 1000:
+        state.update((at,))
+        state.setTimeoutDuration(max(1, at + ttl * 1000 - now))
+    elif state.exists:
+        state.remove()
 
 
 def without_cancelled(records: DataFrame, ttl: int = TTL) -> DataFrame:
-    """(id, value, dropped): requests, dropped if their id was cancelled in the last ttl seconds. State: one flag an id, with a time to live."""
-    keyed = records.select(F.coalesce(F.get_json_object("value", "$.correlationId"), F.lit("")).alias("id"), "value", peek_cancelled(F.col("value")).isNotNull().alias("cancel"))
-    return keyed.groupBy("id").applyInPandasWithState(lambda k, f, s: _cancel(k, f, s, ttl), "id string, value string, dropped boolean", "cancelled boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    """(id, value, dropped): requests, dropped if their id was cancelled in the last ttl seconds. State: one time an id, for ttl seconds.
+
+    Records without an id can't be cancelled; they are dealt by a hash of the whole record.
+    """
+    id_ = F.get_json_object("value", "$.correlationId")
+    key = F.coalesce(id_, F.concat(F.lit("no id "), F.xxhash64("value")))
+    keyed = records.select(key.alias("key"), F.coalesce(id_, F.lit("")).alias("id"), "value", peek_cancelled(F.col("value")).isNotNull().alias("cancel"))
+    return keyed.groupBy("key").applyInPandasWithState(lambda k, f, s: _cancel(k, f, s, ttl), "id string, value string, dropped boolean", "cancelled long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def _hold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Records of one key until their delay has passed; the state has them all, with the time each is due."""
+    now = state.getCurrentProcessingTimeMs()
+    held = list(state.get[0]) if state.exists else []
+    if not state.hasTimedOut:
+        for f in frames:
+            held += [json.dumps([int(d) * 1000 + now if pd.isna(at) else int(at.timestamp() * 1000) + int(d) * 1000, v, int(a), t]) for v, a, t, d, at in zip(f["value"], f["attempt"], f["topic"], f["delay_s"], f["at"], strict=True)]
+    rows = [json.loads(h) for h in held]
+    due = [r for r in rows if r[0] <= now]
+    if due:
+        yield pd.DataFrame({"value": [r[1] for r in due], "attempt": pd.array([r[2] for r in due], "int32"), "topic": [r[3] for r in due]})
+    left = [r for r in rows if r[0] > now]
+    if left:
+        state.update(([json.dumps(r) for r in left],))
+        state.setTimeoutDuration(max(1, min(r[0] for r in left) - now))
+    elif state.exists:
+        state.remove()
+
+
+def held_back(records: DataFrame) -> DataFrame:
+    """Records of retry tiers (key, value, attempt, topic, delay_s, at: when they were sent) come out delay_s after at, in no order of keys."""
+    return records.select("key", "value", "attempt", "topic", "delay_s", "at").groupBy("key").applyInPandasWithState(_hold, "value string, attempt int, topic string", "held array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def with_backoff(call: Callable[[], None], attempts: int = 3, first: float = 0.1) -> None:

@@ -58,3 +58,32 @@ def watermark(offsets: DataFrame) -> DataFrame:
 def respond(results: DataFrame) -> DataFrame:
     """results as JSON records, fields without a value left out."""
     return results.select(F.col("correlation_id").alias("key"), F.to_json(F.struct(*results.columns)).alias("value"))
+
+
+#: The names of a record's headers.
+ATTEMPT, ORIGIN = "x-cutl-attempt", "x-cutl-origin-topic"
+
+
+def attempt_of(headers: Column) -> Column:
+    """The attempt that a record's headers (array of key, binary value) name; the first if they name none or no number."""
+    own = F.filter(headers, lambda h: h["key"] == ATTEMPT)
+    return F.greatest(F.coalesce(F.get(own, F.lit(0))["value"].cast("string").try_cast("int"), F.lit(1)), F.lit(1))
+
+
+def origin_of(headers: Column, topic: Column) -> Column:
+    """The topic a retried record came from at first; its own without that header."""
+    own = F.filter(headers, lambda h: h["key"] == ORIGIN)
+    return F.coalesce(F.get(own, F.lit(0))["value"].cast("string"), topic)
+
+
+def retry_headers(attempt: Column, origin: Column) -> Column:
+    return F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").cast("binary").alias("value")) for k, v in ((ATTEMPT, attempt), (ORIGIN, origin))])
+
+
+def improvements(runs: DataFrame) -> DataFrame:
+    """runs (correlation_id, wave, parts_placed, utilisation) -> those better than all former ones, the last of each marked final: the messages of a request under way."""
+    before = Window.partitionBy("correlation_id").orderBy("wave").rowsBetween(Window.unboundedPreceding, -1)
+    score = F.struct("parts_placed", "utilisation")
+    better = runs.withColumn("_best", F.max(score).over(before)).where(F.col("_best").isNull() | (score > F.col("_best"))).drop("_best")
+    last = Window.partitionBy("correlation_id").orderBy(F.desc("wave"))
+    return better.withColumn("final", F.row_number().over(last) == 1).withColumn("improvement", ~F.col("final"))
