@@ -54,3 +54,51 @@ def test_watermark(spark):
     rows = [(0, 0, True), (0, 1, True), (0, 2, False), (0, 3, True), (1, 5, True), (1, 6, True), (2, 0, False)]
     got = requests.watermark(spark.createDataFrame(rows, "part long, pos long, done boolean")).collect()
     assert {r.part: (r.commit, r.pending) for r in got} == {0: (2, 1), 1: (7, 0), 2: (0, 0)}
+
+
+class Clock:
+    """A group's state with a clock set by hand."""
+
+    def __init__(self):
+        self.now, self.value, self.hasTimedOut = 0, None, False
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def getCurrentProcessingTimeMs(self):
+        return self.now
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        assert ms > 0
+
+
+def test_requests_do_not_renew_a_cancellation():
+    import pandas as pd
+
+    clock = Clock()
+    one = lambda cancel: next(iter(jobs._cancel(("k",), iter([pd.DataFrame({"id": ["k"], "value": ["v"], "cancel": [cancel]})]), clock, 300)), None)
+    assert one(True) is None
+    for at, dropped in ((100, True), (299, True), (301, False), (500, False)):
+        clock.now = at * 1000
+        assert one(False)["dropped"].tolist() == [dropped]
+
+
+def test_records_wait_in_their_tier():
+    import pandas as pd
+
+    clock = Clock()
+    clock.now = 10_000
+    frame = pd.DataFrame({"value": ["a", "b"], "attempt": [2, 3], "topic": ["t", "t"], "delay_s": [5, 60], "at": pd.to_datetime([10, 10], unit="s")})
+    out = lambda frames: [r for f in jobs._hold(("k",), iter(frames), clock) for r in f["value"]]
+    assert out([frame]) == [] and len(clock.value[0]) == 2
+    clock.hasTimedOut = True
+    for now, due in ((14_999, []), (15_000, ["a"]), (69_000, []), (70_000, ["b"])):
+        clock.now = now
+        assert out([]) == due
+    assert clock.value is None
