@@ -1,4 +1,10 @@
-"""A corpus from raw documents to packed sequences; each stage's rows are written and read by the next."""
+"""A corpus from raw documents to packed sequences; each stage's rows are written and read by the next.
+
+Defined cases, of every stage: columns that are not read are kept as they are, whatever their
+names; an empty table gives an empty one; null and empty texts are rows like others (not toxic,
+of fingerprint zero, without secrets, of size 0, a single id); rows with null doc_id take part
+but are chosen last; repeated rows are rows of their own, of which the second stage leaves one.
+"""
 
 from __future__ import annotations
 
@@ -45,7 +51,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("simhash", simhash), ("secrets", secrets), ("mixing", mixing), ("packing", packing)]
 
-#: SQL can't express the learned and iterative stages; tests hold run() against brute force.
+#: SQL can't express the learned and iterative stages; tests hold each stage against brute force on its own input.
 ORACLE_SQL = None
 
 
