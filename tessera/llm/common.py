@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -50,13 +51,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def made() -> int:
+    """A mark for drop(): how many scratch folders there are."""
+    return len(_made)
+
+
+def drop(spark: SparkSession, since: int, paths: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> None:
+    """Delete the folders paths, and the scratch folders made since a mark, but for those to keep.
+
+    Spark deletes the shuffle files of queries that nothing refers to when the driver's garbage
+    is collected: that is asked for too, so that a long job holds the files of its last steps alone.
+    """
+    old, _made[since:] = _made[since:], [m for m in _made[since:] if m[1] in keep]
+    for path in (*paths, *(p for _, p in old if p not in keep)):
+        _delete(spark, path)
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def release(keep: int = 0) -> None:
     """Delete the scratch tables written so far; call it once their results are written."""
     while len(_made) > keep:
         spark, path = _made.pop()
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session is gone: the folder goes with it
             return
 
@@ -100,10 +123,11 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
         last = (n, mark)
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        star = hot_join(both, low, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        few = 2 * n <= HOT  # then no node can have more edges than that
+        star = (both.join(low, "u") if few else hot_join(both, low, ["u"], "n")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         star = star.distinct()
         low = star.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = hot_join(star, low, ["u"], "n").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        small = (star.join(low, "u") if few else hot_join(star, low, ["u"], "n")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         cur = materialize(small, name)
     roots = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return roots.union(cur.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import folders, hot_join, materialize, scratch_folder
+from tessera.llm.common import drop, folders, hot_join, made, materialize, scratch_folder
 from tessera.llm.windows import grams, lows, word_hashes, words
 
 WINDOW, GRAM, FANOUT, BATCHES = 50, 25, 2, 3
@@ -152,13 +152,14 @@ class FingerprintIndex:
         return self._taken(name)
 
     def compact(self) -> None:
-        """One run in place of all; the former files are not changed."""
+        """One run in place of all; once the manifest names it alone, the former ones are deleted."""
         runs, new = self.state["runs"], f"run-{uuid.uuid4().hex}"
         all_ = {t: reduce(DataFrame.union, [self.run(r, t) for r in runs]) for t in TABLES}
         self._write(all_["texts"], new, "texts")  # a text is in the first run that met it, and in no other
         self._write(all_["grams"].groupBy("gram").agg(F.sum("n").alias("n"), F.min(F.struct("t1", "t2")).alias("t")).select("gram", "n", "t.t1", "t.t2"), new, "grams")
         self._write(all_["windows"].groupBy("w1", "w2").agg(F.min("first").alias("first")), new, "windows")
         self._commit([new])
+        drop(self.spark, made(), tuple(f"{self.path}/{r}" for r in runs))
 
     def _met(self, df: DataFrame, table: str, columns: list[str]) -> DataFrame:
         """df with the columns of the former runs' rows of its keys, each as a list (null without any)."""
@@ -174,7 +175,14 @@ class FingerprintIndex:
         """docs (doc_id, text) of a batch, all ids above the former batches' -> doc_id, n_words, n_removed, kept_sha256, a written table."""
         if len(self.state["runs"]) >= self.fanout:
             self.compact()
-        window, gram, new = self.window, self.gram, f"run-{uuid.uuid4().hex}"
+        window, gram, new, mark = self.window, self.gram, f"run-{uuid.uuid4().hex}", made()
+        out = scratch_folder(self.spark, "substring-result")
+        self._add(docs, window, gram, new).write.parquet(out)
+        self._commit([*self.state["runs"], new])
+        drop(self.spark, mark, keep=(out,))
+        return self.spark.read.parquet(out)
+
+    def _add(self, docs: DataFrame, window: int, gram: int, new: str) -> DataFrame:
         text = F.coalesce("text", F.lit(""))
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.cast("binary").alias("raw"))
         plain = materialize(rows.mapInArrow(lambda it: _scan(it, window, gram), "doc_id long, t1 long, t2 long, n_words long, sha string"), "substring-docs")
@@ -209,10 +217,7 @@ class FingerprintIndex:
         of = hot_join(plain, each, ["t1", "t2"], "rows", "left")
         whole = F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window), F.lit(False))
         part = F.coalesce(F.col("n_removed").isNotNull() & (F.col("doc_id") == F.col("first")), F.lit(False))
-        out = of.select("doc_id", "n_words", F.when(whole, F.col("n_words")).when(part, F.col("n_removed")).otherwise(F.lit(0)).cast("long").alias("n_removed"), F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).when(part, F.col("kept")).otherwise(F.col("sha")).alias("kept_sha256"))
-        out = materialize(out, "substring-result")
-        self._commit([*self.state["runs"], new])
-        return out
+        return of.select("doc_id", "n_words", F.when(whole, F.col("n_words")).when(part, F.col("n_removed")).otherwise(F.lit(0)).cast("long").alias("n_removed"), F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).when(part, F.col("kept")).otherwise(F.col("sha")).alias("kept_sha256"))
 
 
 def dedup(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT) -> DataFrame:
