@@ -215,8 +215,14 @@ def build(rows: DataFrame, space: Space, dim: int, shard: int = SHARD) -> DataFr
             yield pa.record_batch([*b.columns, pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near])], names=["v", "ids", "pivot", "dist"])
 
     n = rows.count()
+    size, order = max(shard, math.ceil(n / MOST)), ["pivot", "dist", F.element_at("ids", 1)]
     index = rows.select("v", "ids").mapInArrow(keyed, "v array<double>, ids array<long>, pivot int, dist double")
-    return materialize(index.repartitionByRange(math.ceil(n / max(shard, n / MOST)), "pivot", "dist", F.element_at("ids", 1)).withColumn("shard", F.spark_partition_id()), "topk-index")
+    index = index.repartitionByRange(math.ceil(n / size), *order).sortWithinPartitions(*order)
+    index = materialize(index.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "topk-index")
+    # shards are cut by position in the whole order, however many partitions there are: a row a partition, MOST at most
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = index.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return index.join(F.broadcast(parts), "part").withColumn("shard", F.floor((F.col("before") + F.col("at")) / size).cast("int")).drop("part", "at", "before")
 
 
 def reach(asked: DataFrame, index: DataFrame, space: Space, dim: int) -> DataFrame:
