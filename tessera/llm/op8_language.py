@@ -34,8 +34,17 @@ from tessera.llm.common import bucket_of, materialize
 
 SAMPLE, PIECES, BUCKETS, EPOCHS, SEGMENT, SEEN, TYPICAL, GROUP, CACHE = 1_500, 8_000, 1 << 16, 14, 128, 3, 4, 256, 400_000
 #: Numbers that a regular expression takes for parts of words: superscripts, fractions, Roman numerals and so on.
-_NUMBERS = re.escape("".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()))
-TOKEN = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+NUMBERS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+TOKEN, PRECISE = re.compile(r"[^\W\d_]+"), re.compile(rf"[^\W\d_{re.escape(''.join(sorted(NUMBERS)))}]+")
+
+
+def words_in(text: str) -> re.Pattern:
+    """The expression of a text's words: that without such numbers is slow, and few texts hold any."""
+    return TOKEN if text.isascii() or NUMBERS.isdisjoint(text) else PRECISE
+
+
+def tokens(text: str) -> list[str]:
+    return words_in(text).findall(text)
 
 
 def features(word: str, lexicon: dict[str, list[int]]) -> list[int]:
@@ -104,7 +113,7 @@ def _padded(rows: np.ndarray, starts: np.ndarray, length: np.ndarray, table: np.
 def train(texts: list[str], langs: list[str], epochs: int = EPOCHS) -> dict:
     names = sorted(set(langs))
     n = len(names)
-    words = [TOKEN.findall(t.lower()) for t in texts]
+    words = [tokens(t.lower()) for t in texts]
     counts = {k: Counter() for k in names}
     for w, k in zip(words, langs, strict=True):
         counts[k].update(w)
@@ -168,7 +177,7 @@ def predict(texts: list[str | None], model: dict, emissions: Emissions) -> tuple
     lang, score = ["und"] * len(texts), [0.0] * len(texts)
     if not names:
         return lang, score
-    words = [TOKEN.findall(t.lower()) if t else [] for t in texts]
+    words = [tokens(t.lower()) if t else [] for t in texts]
     order = sorted((i for i, w in enumerate(words) if w), key=lambda i: -len(words[i]))
     at = 0
     while at < len(order):
@@ -187,7 +196,7 @@ def predict(texts: list[str | None], model: dict, emissions: Emissions) -> tuple
 
 def label_words(text: str | None, model: dict, emissions: Emissions | None = None) -> list[tuple[int, int, str, float]]:
     """(start, end, language, probability) of every word of a text, positions in the text as it is."""
-    found = list(TOKEN.finditer(text or ""))
+    found = list(words_in(text or "").finditer(text or ""))
     if not found or not model["names"]:
         return []
     emissions = emissions or Emissions(model)
@@ -200,7 +209,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts (text, lang) in pieces of SEGMENT words."""
     for b in batches:
         for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            w = TOKEN.findall(text.lower())
+            w = tokens(text.lower())
             parts = [" ".join(w[k : k + SEGMENT]) for k in range(0, len(w), SEGMENT)]
             yield pa.record_batch([pa.array(parts, pa.string()), pa.array([lang] * len(parts), pa.string())], names=["text", "lang"])
 
