@@ -78,12 +78,12 @@ def _rows(request: int, layouts: list[N.Layout]) -> list[tuple]:
 
 def polygon_bins(parts: DataFrame, sheets: list[N.Sheet], gap: float, config: Search = Search()) -> DataFrame:
     """parts (request, id, ring about its origin, demand, turns: radians or null for any, quality) -> PLACED; parts without a place have no row."""
-    return per_group(parts.select("request", "id", "ring", "demand", "turns", "quality"), "request", PLACED, lambda q, f: _rows(q, N.fill_bins(_parts(f), sheets, gap, (config.seed or 0) * 1_000_003 + q, config.samples, config.local)), ["id"], 4)
+    return per_group(parts.select("request", "id", "ring", "demand", "turns", "quality"), "request", PLACED, lambda q, f: _rows(q, N.fill_bins(_parts(f), sheets, gap, (config.seed or 0) * 1_000_003 + q, config.samples, config.local)), ["id"], 1)
 
 
 def polygon_strips(parts: DataFrame, height: float, gap: float, most: float = math.inf, config: Search = Search()) -> DataFrame:
     """The same for strips of one height: one that grows, or several up to a width of most."""
-    return per_group(parts.select("request", "id", "ring", "demand", "turns", "quality"), "request", PLACED, lambda q, f: _rows(q, N.fill_strips(_parts(f), height, gap, (config.seed or 0) * 1_000_003 + q, most, config.samples, config.local)), ["id"], 4)
+    return per_group(parts.select("request", "id", "ring", "demand", "turns", "quality"), "request", PLACED, lambda q, f: _rows(q, N.fill_strips(_parts(f), height, gap, (config.seed or 0) * 1_000_003 + q, most, config.samples, config.local)), ["id"], 1)
 
 
 def placed_rings(placed: DataFrame, parts: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def lattice_pages(parts: DataFrame, sheet: tuple[float, float], gap: float, dire
             out += [(request, int(r.id), k, float(a), float(x), float(y), int(r.demand) // n, int(r.demand) % n) for k, (a, x, y) in enumerate(at)]
         return out
 
-    return per_group(parts.select("request", "id", "ring", "demand", "half"), "request", "request long, id long, copy int, rot double, tx double, ty double, full long, rest long", one, ["id"], 16)
+    return per_group(parts.select("request", "id", "ring", "demand", "half"), "request", "request long, id long, copy int, rot double, tx double, ty double, full long, rest long", one, ["id"], 1)
 
 
 def classes(parts: DataFrame, sheet: tuple[float, float]) -> DataFrame:
