@@ -54,15 +54,22 @@ def scale(e: Edge, factor: float) -> Edge:
     return Edge(cx + (e.x1 - cx) * factor, cy + (e.y1 - cy) * factor, cx + (e.x2 - cx) * factor, cy + (e.y2 - cy) * factor)
 
 
-def closest(e: Edge, x: Column, y: Column) -> tuple[Column, Column]:
+def _along(e: Edge, x: Column, y: Column) -> tuple[Column, Column, Column]:
+    """The share of the edge up to its closest point, and the edge's step."""
     dx, dy = e.x2 - e.x1, e.y2 - e.y1
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - e.x1) * dx + (y - e.y1) * dy) / (dx * dx + dy * dy)))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - e.x1) * dx + (y - e.y1) * dy) / (dx * dx + dy * dy))), dx, dy
+
+
+def closest(e: Edge, x: Column, y: Column) -> tuple[Column, Column]:
+    t, dx, dy = _along(e, x, y)
     return e.x1 + t * dx, e.y1 + t * dy
 
 
 def distance(e: Edge, x: Column, y: Column) -> Column:
-    px, py = closest(e, x, y)
-    return F.sqrt((x - px) * (x - px) + (y - py) * (y - py))
+    """Differences from the edge's start: a closest point of its own, rounded at its own size, would lose shapes that touch."""
+    t, dx, dy = _along(e, x, y)
+    gx, gy = x - e.x1 - t * dx, y - e.y1 - t * dy
+    return F.sqrt(gx * gx + gy * gy)
 
 
 def _cross(a: Edge, b: Edge) -> tuple[Column, Column, Column]:

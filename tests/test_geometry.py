@@ -228,3 +228,11 @@ def test_fill_queries_take_the_full_samples(monkeypatch):
     searches.lbf_bin(None, None)
     searches.lbf_strip(None, None)
     assert taken == [5000, 5000]
+
+
+def test_touching_circles_and_edges_collide(spark):
+    from tessera.functions import circle as C
+    from tessera.functions import edge as E
+
+    rows = spark.createDataFrame([(501.0, 293.0, 12.0, 497.0, 311.0, 521.0, 293.0), (376.0, 168.0, 8.0, 368.0, 184.0, 388.0, 169.0), (376.0, 168.0, 7.9, 368.0, 184.0, 388.0, 169.0)], "cx double, cy double, r double, x1 double, y1 double, x2 double, y2 double")
+    assert [r[0] for r in rows.select(C.hits_edge(C.circle(), E.edge())).collect()] == [True, True, False]
