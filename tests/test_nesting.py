@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.config import Search
 from tessera.kernels import geometry as G
 from tessera.kernels import nesting as N
+from tessera.kernels import search as S
 from tessera.operators import kernels as K
 from tessera.operators import layouts as L
 from tessera.operators import nesting as O
@@ -169,3 +170,10 @@ def test_headers_and_improvements(spark):
     assert [(r.n, r.t) for r in got] == [(3, "a"), (1, "own")]
     runs = spark.createDataFrame([("x", 0, 5, 0.5), ("x", 1, 5, 0.4), ("x", 2, 6, 0.3), ("x", 3, 6, 0.3), ("y", 0, 1, 0.1)], "correlation_id string, wave int, parts_placed int, utilisation double")
     assert sorted((r.correlation_id, r.wave, r.final) for r in R.improvements(runs).collect()) == [("x", 0, False), ("x", 2, True), ("y", 0, True)]
+
+
+def test_half_planes_hold_every_step():
+    for m in N.motifs(star(245), 1.0):
+        body = G.hull(G.offset(G.hull(np.vstack([N.turned(star(245), a) + o for a, o in m])), 0.5))
+        n, c = S.difference(body)[:2]
+        assert (n @ (body[:, None] - body[None]).reshape(-1, 2).T <= c[:, None] + 1e-6).all()
