@@ -177,3 +177,9 @@ def test_half_planes_hold_every_step():
         body = G.hull(G.offset(G.hull(np.vstack([N.turned(star(245), a) + o for a, o in m])), 0.5))
         n, c = S.difference(body)[:2]
         assert (n @ (body[:, None] - body[None]).reshape(-1, 2).T <= c[:, None] + 1e-6).all()
+
+
+def test_copies_of_a_pair_stay_apart():
+    ring = np.array([[16.957899999999995, 0.0], [8.686900000000037, 5.0154], [7.180299999999988, 12.436599999999999], [0.0, 15.019600000000025], [-6.371999999999957, 11.036600000000021], [-9.561000000000035, 5.5201000000000136], [-13.82669999999996, 0.0], [-11.817800000000034, -6.822999999999979], [-7.330500000000029, -12.696900000000028], [0.0, -13.756199999999978], [5.675399999999968, -9.83019999999999], [10.495400000000018, -6.059500000000014]])
+    rings = [N.turned(ring, a) + np.array([x, y]) for a, x, y in N.lattice_sheet(ring, 1.0, (220.0, 160.0))]
+    assert not any(N.Body(a).meets(b) for i, a in enumerate(rings) for b in rings[:i])
