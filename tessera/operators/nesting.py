@@ -64,11 +64,10 @@ def _array(ring) -> np.ndarray:
     return np.array([(p["x"], p["y"]) for p in ring])
 
 
-def _parts(f: pd.DataFrame) -> list[N.Part]:
+def _parts(f: dict[str, list]) -> list[N.Part]:
     out = []
-    for r in f.itertuples():
-        turns = None if r.turns is None else tuple(map(float, r.turns)) or (0.0,)
-        out.append(N.Part(int(r.id), _array(r.ring), int(r.demand), turns, None if pd.isna(r.quality) else int(r.quality)))
+    for i, ring, demand, turns, quality in zip(*(f[c] for c in ("id", "ring", "demand", "turns", "quality")), strict=True):
+        out.append(N.Part(i, _array(ring), demand, None if turns is None else tuple(map(float, turns)) or (0.0,), quality))
     return out
 
 
@@ -78,12 +77,12 @@ def _rows(request: int, layouts: list[N.Layout]) -> list[tuple]:
 
 def polygon_bins(parts: DataFrame, sheets: list[N.Sheet], gap: float, config: Search = Search()) -> DataFrame:
     """parts (request, id, ring about its origin, demand, turns: radians or null for any, quality) -> PLACED; parts without a place have no row."""
-    return per_group(parts.select("request", "id", "ring", "demand", "turns", "quality"), "request", PLACED, lambda q, f: _rows(q, N.fill_bins(_parts(f), sheets, gap, (config.seed or 0) * 1_000_003 + q, config.samples, config.local)), ["id"], 1)
+    return per_group(parts.select("request", "id", "ring", "demand", "turns", "quality"), "request", PLACED, lambda q, f: _rows(q, N.fill_bins(_parts(f), sheets, gap, (config.seed or 0) * 1_000_003 + q, config.samples, config.local)), ["id"])
 
 
 def polygon_strips(parts: DataFrame, height: float, gap: float, most: float = math.inf, config: Search = Search()) -> DataFrame:
     """The same for strips of one height: one that grows, or several up to a width of most."""
-    return per_group(parts.select("request", "id", "ring", "demand", "turns", "quality"), "request", PLACED, lambda q, f: _rows(q, N.fill_strips(_parts(f), height, gap, (config.seed or 0) * 1_000_003 + q, most, config.samples, config.local)), ["id"], 1)
+    return per_group(parts.select("request", "id", "ring", "demand", "turns", "quality"), "request", PLACED, lambda q, f: _rows(q, N.fill_strips(_parts(f), height, gap, (config.seed or 0) * 1_000_003 + q, most, config.samples, config.local)), ["id"])
 
 
 def placed_rings(placed: DataFrame, parts: DataFrame) -> DataFrame:
@@ -106,20 +105,20 @@ def lattice_pages(parts: DataFrame, sheet: tuple[float, float], gap: float, dire
     The best lattice of single parts or nestled pairs; the grid of boxes is the floor.
     """
 
-    def one(request: int, f: pd.DataFrame) -> list[tuple]:
+    def one(request: int, f: dict[str, list]) -> list[tuple]:
         out = []
-        for r in f.itertuples():
-            ring = _array(r.ring)
-            at = N.lattice_sheet(ring, gap, sheet, directions, bool(r.half))
+        for i, ring, demand, half in zip(*(f[c] for c in ("id", "ring", "demand", "half")), strict=True):
+            ring = _array(ring)
+            at = N.lattice_sheet(ring, gap, sheet, directions, bool(half))
             low, size = ring.min(0), np.ptp(ring, axis=0)
             nx, ny = (max(0, math.floor((s + 1e-9) / (d + gap))) for s, d in zip(sheet, size, strict=True))
             if nx * ny > len(at):
                 at = [(0.0, gap / 2 + i * (size[0] + gap) - low[0], gap / 2 + j * (size[1] + gap) - low[1]) for i in range(nx) for j in range(ny)]
             n = len(at)
-            out += [(request, int(r.id), k, float(a), float(x), float(y), int(r.demand) // n, int(r.demand) % n) for k, (a, x, y) in enumerate(at)]
+            out += [(request, i, k, float(a), float(x), float(y), demand // n, demand % n) for k, (a, x, y) in enumerate(at)]
         return out
 
-    return per_group(parts.select("request", "id", "ring", "demand", "half"), "request", "request long, id long, copy int, rot double, tx double, ty double, full long, rest long", one, ["id"], 1)
+    return per_group(parts.select("request", "id", "ring", "demand", "half"), "request", "request long, id long, copy int, rot double, tx double, ty double, full long, rest long", one, ["id"])
 
 
 def classes(parts: DataFrame, sheet: tuple[float, float]) -> DataFrame:

@@ -107,3 +107,11 @@ def test_documents_and_solutions(spark):
         text = I.solutions_json(placed, density, per if problem != "strip" else per.where("layout = 1"), problem)
         assert set(json.loads(text.first().value)) == keys | {"density", "run_time_sec"}
         assert I.read_solutions(text).count() == (1 if problem == "strip" else 2)
+
+
+def test_waves_send_no_requests_to_the_driver(spark, monkeypatch):
+    parts = spark.createDataFrame([(q, i, 14.0, 9.0, 2) for q in range(4) for i in range(3)], "request long, id long, w double, h double, demand long")
+    plans, run = [], W.run_wave
+    monkeypatch.setattr(W, "run_wave", lambda p, *a: plans.append(p._jdf.queryExecution().toString()) or run(p, *a))
+    got = W.adaptive(parts, (30.0, 20.0), 1.0, samples=20, most=2)
+    assert got.count() == 24 and plans and not any("Broadcast" in p for p in plans)
