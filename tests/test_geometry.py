@@ -296,3 +296,12 @@ def test_the_largest_free_rectangle_may_be_thin(spark):
     placed = spark.createDataFrame([(1, 0.0, 10.0, 290.0, 50.0)], "sheet long, x_min double, y_min double, x_max double, y_max double")
     r = OK.offcut_facts(placed, (320.0, 50.0), 12.0, 12.0).first()
     assert (r.largest, r.n, r.area, r.n_merged, r.area_merged, r.corners) == (3200.0, 1, 1200.0, 1, 1200.0, 4)
+
+
+def test_poles_cost_little():
+    import time
+
+    began = time.process_time()
+    for seed in range(15):
+        G.poles(star(seed), ((100, 0.0), (20, 0.75), (10, 0.9)))
+    assert time.process_time() - began < 0.7
