@@ -111,9 +111,17 @@ def moved(ring: Column, m) -> Column:
     return F.transform(ring, one)
 
 
-def collides(a: Column, b: Column) -> Column:
-    """Edges that meet, or one ring inside the other."""
-    crossing = F.exists(edges(a), lambda e: F.exists(edges(b), lambda f: E.collides(as_edge(e), as_edge(f))))
+def collides(a: Column, b: Column, boxes: tuple[Rect, Rect] | None = None) -> Column:
+    """Edges that meet, or one ring inside the other. boxes of both, if they are at hand, leave out edges that reach neither."""
+    def near(ring: Column, box: Rect | None) -> Column:
+        if box is None:
+            return edges(ring)
+        reach = lambda e, v, low, high: (F.greatest(e[f"{v}1"], e[f"{v}2"]) >= low) & (F.least(e[f"{v}1"], e[f"{v}2"]) <= high)
+        return F.filter(edges(ring), lambda e: reach(e, "x", box.x0, box.x1) & reach(e, "y", box.y0, box.y1))
+
+    of_a, of_b = boxes or (None, None)
+    # an array of one array: its edges are made once, not for every edge of the other ring
+    crossing = F.exists(F.array(near(b, of_a)), lambda fs: F.exists(near(a, of_b), lambda e: F.exists(fs, lambda f: E.collides(as_edge(e), as_edge(f)))))
     return crossing | has_point(b, a[0]["x"], a[0]["y"]) | has_point(a, b[0]["x"], b[0]["y"])
 
 

@@ -19,6 +19,7 @@ from tessera.config import Search
 from tessera.functions import affine as A
 from tessera.functions import ring as P
 from tessera.functions import svg as G
+from tessera.functions.rect import rect
 from tessera.kernels import geometry as K
 from tessera.kernels import nesting as N
 from tessera.kernels import repair as Q
@@ -95,7 +96,7 @@ def placed_rings(placed: DataFrame, parts: DataFrame) -> DataFrame:
 def overlaps(rows: DataFrame, page: Column) -> DataFrame:
     """Colliding pairs of rows (ring and box) of one page: (request, a, b numbers)."""
     keyed = rows.select("request", page.alias("sheet"), F.monotonically_increasing_id().alias("id"), "ring", "x_min", "y_min", "x_max", "y_max")
-    pairs = collect(keyed, keyed, lambda: (F.col("a_id") < F.col("b_id")) & P.collides(F.col("a_ring"), F.col("b_ring")))
+    pairs = collect(keyed, keyed, lambda: (F.col("a_id") < F.col("b_id")) & P.collides(F.col("a_ring"), F.col("b_ring"), (rect("a_"), rect("b_"))), dealt=True)
     return pairs.select(F.col("a_request").alias("request"), F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 

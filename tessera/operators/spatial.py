@@ -42,8 +42,11 @@ def _cells(df: DataFrame, prefix: str, cell: float) -> tuple[DataFrame, DataFram
     return few, df.where(_count(prefix, cell) > MANY)
 
 
-def spatial_join(a: DataFrame, b: DataFrame, exact: Callable[[], Column] | None = None, key: tuple[str, str] = ("a_sheet", "b_sheet"), cell: float | None = None) -> DataFrame:
-    """Pairs of rows of a (columns a_x_min ... a_y_max) and b (b_x_min ...) of equal key whose boxes and, if given, exact() meet."""
+def spatial_join(a: DataFrame, b: DataFrame, exact: Callable[[], Column] | None = None, key: tuple[str, str] = ("a_sheet", "b_sheet"), cell: float | None = None, dealt: bool = False) -> DataFrame:
+    """Pairs of rows of a (columns a_x_min ... a_y_max) and b (b_x_min ...) of equal key whose boxes and, if given, exact() meet.
+
+    dealt: small rows whose exact() is much work; adaptive execution would join them in few tasks.
+    """
     sizes = [extents(a, "a_"), extents(b, "b_")]
     cell = cell or max(x[0] for x in sizes)
     large = [(w / cell + 2) * (h / cell + 2) > MANY for _, w, h in sizes]
@@ -54,6 +57,9 @@ def spatial_join(a: DataFrame, b: DataFrame, exact: Callable[[], Column] | None
     same = F.col(key[0]) == F.col(key[1])
     (fa, ma), (fb, mb) = _cells(a, "a_", cell), _cells(b, "b_", cell)
     fa = fa.withColumnsRenamed({"_cx": "_ax", "_cy": "_ay"})
+    if dealt:
+        n = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        fa, fb = fa.repartition(n, key[0], "_ax", "_ay"), fb.repartition(n, key[1], "_cx", "_cy")
     home = (F.col("_ax") == F.floor(F.greatest(ra.x0, rb.x0) / cell)) & (F.col("_ay") == F.floor(F.greatest(ra.y0, rb.y0) / cell))
     pairs = fa.join(fb, same & (F.col("_ax") == F.col("_cx")) & (F.col("_ay") == F.col("_cy")) & home & meet).drop("_ax", "_ay", "_cx", "_cy")
     # large shapes, if there can be any: of a against all of b, of b against those of a that the grid holds
@@ -66,9 +72,9 @@ def prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
 
 
-def collect(shapes: DataFrame, hazards: DataFrame, exact: Callable[[], Column] | None = None, irrelevant: Column | None = None, cell: float | None = None) -> DataFrame:
+def collect(shapes: DataFrame, hazards: DataFrame, exact: Callable[[], Column] | None = None, irrelevant: Column | None = None, cell: float | None = None, dealt: bool = False) -> DataFrame:
     """All colliding pairs; irrelevant: a condition on a_ and b_ columns of pairs that a filter takes out."""
-    out = spatial_join(prefixed(shapes, "a_"), prefixed(hazards, "b_"), exact, cell=cell)
+    out = spatial_join(prefixed(shapes, "a_"), prefixed(hazards, "b_"), exact, cell=cell, dealt=dealt)
     return out if irrelevant is None else out.where(~irrelevant)
 
 
