@@ -52,7 +52,8 @@ def grid(parts: DataFrame) -> DataFrame:
         region(right, zero, bw - right, bh, F.col("_h"), F.col("_w"), F.col("_flat"), other),
         region(zero, above, used_w, bh - above, F.col("_h"), F.col("_w"), F.col("_flat"), other),
     ))
-    return out.withColumn("regions", regions).drop("_flat", "_any", "_w", "_h", "_nx", "_ny")
+    # a generator: filters on what follows stay above it; below, each mention of the regions would be their whole expression
+    return out.select(*parts.columns, F.inline(F.array(F.struct(regions.alias("regions")))))
 
 
 def capacity(regions: Column) -> Column:
@@ -61,7 +62,7 @@ def capacity(regions: Column) -> Column:
 
 def stencil(parts: DataFrame, keep: list[str]) -> DataFrame:
     """A row per cell of grid()'s regions: centre, turned, and its number from 0."""
-    rows = grid(parts).select(*keep, "spacing", F.posexplode("regions").alias("region", "r"))
+    rows = (parts if "regions" in parts.columns else grid(parts)).select(*keep, "spacing", F.posexplode("regions").alias("region", "r"))
     rows = rows.select(*keep, "spacing", "region", "r", F.explode(F.sequence(F.lit(0), F.col("r.nx") - 1)).alias("i"))
     rows = rows.select(*keep, "spacing", "region", "r", "i", F.explode(F.sequence(F.lit(0), F.col("r.ny") - 1)).alias("j"))
     gap = F.col("spacing")

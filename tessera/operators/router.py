@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import kernels as K
@@ -12,11 +12,12 @@ from tessera.operators import packing as P
 
 
 def classes(parts: DataFrame, sheet: tuple[float, float]) -> DataFrame:
-    """parts (request, id, w, h, demand, area, vertices, holes, angles) -> with class."""
+    """parts (request, id, w, h, demand, area, vertices, holes, angles) -> with class; parts of a null request go."""
     rect = F.col("area") / (F.col("w") * F.col("h"))
-    got = parts.groupBy("request").agg(F.count("*").alias("types"), F.max(F.col("w") * F.col("h")).alias("box"), F.max(rect).alias("rect"), F.min(rect).alias("least"), F.max("vertices").alias("n"), F.max("holes").alias("holes"))
-    kind = P.classify(F.col("types"), F.col("box") / (sheet[0] * sheet[1]), F.col("rect"), F.col("n"), F.col("holes"), F.col("least"))
-    return parts.join(got.select("request", kind.alias("class")), "request")
+    facts = {"_types": F.count("*"), "_box": F.max(F.col("w") * F.col("h")), "_most": F.max(rect), "_least": F.min(rect), "_n": F.max("vertices"), "_holes": F.max("holes")}
+    got = parts.where("request is not null").withColumns({k: v.over(Window.partitionBy("request")) for k, v in facts.items()})
+    kind = P.classify(F.col("_types"), F.col("_box") / (sheet[0] * sheet[1]), F.col("_most"), F.col("_n"), F.col("_holes"), F.col("_least"))
+    return got.withColumn("class", kind).drop(*facts)
 
 
 def nest(parts: DataFrame, sheet: tuple[float, float], gap: float, mode: str = "auto", general: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -33,12 +34,10 @@ def nest(parts: DataFrame, sheet: tuple[float, float], gap: float, mode: str = "
     grid = P.grid(rows.where(gridded)).withColumn("capacity", P.capacity(F.col("regions")))
     full, rest, _ = P.pages(F.col("demand"), F.col("capacity"))
     grid = grid.withColumn("full", full).withColumn("rest", rest)
-    sheets = P.stencil(grid.where("full > 0").drop("regions"), ["request", "id", "full"])
+    sheets = P.stencil(grid.where("full > 0"), ["request", "id", "full"])
     sheets = sheets.select("request", "id", F.concat_ws("-", F.lit("full"), F.col("id").cast("string")).alias("page"), F.col("full").alias("copies"), "x", "y", F.when(F.col("turned"), 90.0).otherwise(0.0).alias("rot"))
     left = grid.where("rest > 0 and capacity > 0").select("request", "id", "w", "h", F.explode(F.sequence(F.lit(1), F.col("rest").cast("int"))).alias("_n")).drop("_n")
-    shelf = K.shelves(left, sheet, gap)
-    size = left.distinct().select(F.col("request").alias("r"), F.col("id").alias("i"), "w", "h")
-    shelf = shelf.join(size, (F.col("request") == F.col("r")) & (F.col("id") == F.col("i"))).select("request", "id", F.concat_ws("-", F.lit("rest"), F.col("page").cast("string")).alias("page"), F.lit(1).cast("long").alias("copies"), (F.col("x") + F.col("w") / 2).alias("x"), (F.col("y") + F.col("h") / 2).alias("y"), F.lit(0.0).alias("rot"))
+    shelf = K.shelves(left, sheet, gap, sizes=True).select("request", "id", F.concat_ws("-", F.lit("rest"), F.col("page").cast("string")).alias("page"), F.lit(1).cast("long").alias("copies"), (F.col("x") + F.col("w") / 2).alias("x"), (F.col("y") + F.col("h") / 2).alias("y"), F.lit(0.0).alias("rot"))
     other = rows.where(~gridded).select("request", "id", "w", "h", "demand")
     if general is None:
         got = K.fill_bins(other, [(0, float(sheet[0]), float(sheet[1]), 1_000_000)], gap, samples=100)

@@ -305,3 +305,13 @@ def test_poles_cost_little():
     for seed in range(15):
         G.poles(star(seed), ((100, 0.0), (20, 0.75), (10, 0.9)))
     assert time.process_time() - began < 0.7
+
+
+def test_filters_do_not_copy_the_regions(spark):
+    from tessera.operators import packing
+
+    rows = spark.range(4).selectExpr("id", "id + 5.0d as w", "3.0d as h", "60.0d as sheet_w", "40.0d as sheet_h", "1.0d as spacing", "true as turn")
+    got = packing.grid(rows).withColumn("capacity", packing.capacity(F.col("regions"))).withColumn("rest", F.lit(900) % F.col("capacity"))
+    plan = got.where("rest > 0 and capacity > 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("turned, NOT") == 1
+    assert got.columns == [*rows.columns, "regions", "capacity", "rest"]

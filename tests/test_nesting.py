@@ -186,7 +186,6 @@ def test_copies_of_a_pair_stay_apart():
 
 
 def test_stretches_at_once_are_those_of_each_ray():
-
     r = np.random.default_rng(4)
     n, c, _ = S.difference(G.hull(r.normal(0, 20, (9, 2))))
     at, rays = r.normal(0, 30, (7, 2)), np.array([(math.cos(t), math.sin(t)) for t in np.linspace(0, 3, 6)])
