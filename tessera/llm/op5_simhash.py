@@ -32,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, forest, hot_join, materialize
+from tessera.llm.common import batches_of, connected_components, forest, hot_join, materialize
 
 RADIUS, BLOCKS, TILE, SALTS = 3, 4, 512, 16
+#: Pairs of tiles sent to Python at once: 8 KB each.
+TOGETHER = 128
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -144,7 +146,9 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
 def components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """prints (doc_id, fp), a written table -> fp, component_id, root (a fingerprint of the component) and rows of every distinct fp."""
     fps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")), "simhash-distinct")
-    nodes = connected_components(materialize(links(fps.select("fp"), radius), "simhash-links"), "simhash-cc")
+    with batches_of(prints.sparkSession, TOGETHER):
+        found = materialize(links(fps.select("fp"), radius), "simhash-links")
+    nodes = connected_components(found, "simhash-cc")
     of = materialize(fps.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", "rows", F.coalesce("component", "fp").alias("root")), "simhash-roots")
     low = of.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("members"))
     return hot_join(of, low, ["root"], "members").select("fp", "component_id", "root", "rows")

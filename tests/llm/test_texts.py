@@ -562,3 +562,14 @@ def test_tokens_of_added_strings():
 
 def test_language_reads_whole_runs():
     assert op8_language.features("a" * 60 + "qz" + "a" * 10, {}) != op8_language.features("a" * 60 + "zq" + "a" * 10, {})
+
+
+def test_pairs_of_tiles_are_sent_few_at_a_time(spark, monkeypatch):
+    from tessera.llm import op5_simhash as S
+
+    name, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, table: seen.update({table: spark.conf.get(name)}) or write(df, table))
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(i, f"word{i % 3} b c d") for i in range(9)], "doc_id long, text string")
+    assert len({r.component_id for r in S.simhash(docs).collect()}) == 3
+    assert int(seen["simhash-links"]) * S.TILE * 16 <= 1 << 20 and seen["simhash"] == before == spark.conf.get(name)
