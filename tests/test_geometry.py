@@ -315,3 +315,18 @@ def test_filters_do_not_copy_the_regions(spark):
     plan = got.where("rest > 0 and capacity > 0")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("turned, NOT") == 1
     assert got.columns == [*rows.columns, "regions", "capacity", "rest"]
+
+
+def test_parts_that_touch_at_corners_cost_little():
+    import time
+
+    got = G.free_polygons((0.0, 0.0, 9.0, 9.0), [(0.0, 0.0, 3.0, 3.0), (3.0, 3.0, 6.0, 6.0), (6.0, 6.0, 9.0, 9.0)])
+    assert [p["area"] for p in got] == [27.0, 27.0] and [len(p["outer"]) for p in got] == [6, 6]
+    ring = [(1.0, 1.0, 3.0, 3.0), (3.0, 3.0, 5.0, 5.0), (5.0, 1.0, 7.0, 3.0), (3.0, 0.0, 5.0, 1.0)]
+    got = G.free_polygons((0.0, 0.0, 8.0, 6.0), ring)
+    assert sum(p["area"] for p in got) == 48.0 - 14.0 and all(p["area"] > 0 for p in got)
+    boxes = [(40.0 * k, 3.0 * k, 40.0 * k + 11 + k, 3.0 * k + 9) for k in range(7)]
+    began = time.process_time()
+    for _ in range(400):
+        G.free_polygons((0.0, 0.0, 320.0, 50.0), boxes)
+    assert (time.process_time() - began) / 400 < 3.5e-4
