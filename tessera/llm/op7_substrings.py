@@ -19,8 +19,10 @@ holder so far, in that former text. Before a batch that finds FANOUT runs these
 to one. A manifest, written last, names the runs; a later session opens the folder and goes on.
 
 Equal texts fall together first: only the first of a group of copies meets the index, the
-others lose all their windows at once. Grams, windows and texts of many rows are dealt to
-several tasks; counts are combined before they are exchanged.
+others lose all their windows at once. Grams of many texts are found before anything is
+exchanged, by their counts within tasks. The rows of all other grams, and of windows under
+them, are exchanged once, into scratch tables bucketed as the runs are; those of the many are
+dealt to several tasks, and their counts combined before they are exchanged.
 
 Defined cases: null text has no words; texts of under WINDOW words keep all; repeated rows
 with one doc_id don't remove each other's words; a null doc_id neither removes nor loses
@@ -40,10 +42,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop, folders, hot_join, made, materialize, scratch_folder
+from tessera.llm.common import HOT, drop, folders, hot_join, made, materialize, scratch_folder
 from tessera.llm.windows import grams, lows, word_hashes, words
 
 WINDOW, GRAM, FANOUT, BATCHES = 50, 25, 2, 3
+#: Texts of one task that may hold a gram before its rows are dealt to several tasks, however many tasks there are.
+OFTEN = 16
 #: Of each table of a run: its schema and the leading columns that are its key.
 TABLES = {
     "texts": ("t1 long, t2 long, first long, raw binary, grams array<long>", 2),
@@ -79,8 +83,14 @@ def _grams(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterato
         yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, "grams"]).filter(pa.array(np.diff(offsets) > 0))
 
 
+def _often(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The grams that more than so many rows of lists in one task hold."""
+    keys, n = np.unique(np.concatenate([np.zeros(0, np.int64), *(b.column(0).flatten().to_numpy() for b in batches)]), return_counts=True)
+    yield pa.record_batch([pa.array(keys[n > most])], names=["gram"])
+
+
 def _digest(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Rows (t1, t2, first, raw, grams) -> every window whose least gram is among grams."""
+    """Rows (t1, t2, first, raw, grams) -> every window whose least gram is among grams, once a text with all its starts (32-bit)."""
     from xxhash import xxh3_128_digest
 
     for b in batches:
@@ -94,8 +104,12 @@ def _digest(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterat
             for k in range(0, len(at), 1 << 15):
                 own = at[k : k + (1 << 15)]
                 keys = np.frombuffer(b"".join([xxh3_128_digest(line[s:e]) for s, e in zip(begin[own].tolist(), stop[own + window - 1].tolist(), strict=True)]), np.int64).reshape(-1, 2)
-                n = len(own)
-                yield pa.record_batch([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(np.full(n, t1)), pa.array(np.full(n, t2)), pa.array(np.full(n, first)), pa.array(own.astype(np.int32))], names=["w1", "w2", "t1", "t2", "first", "start"])
+                order = np.lexsort(keys.T)
+                keys, starts = keys[order], own[order].astype(np.int32)
+                new = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1))))
+                n, offsets = len(new), np.append(new, len(keys)).astype(np.int32) * 4
+                lists = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(starts)])
+                yield pa.record_batch([pa.array(keys[new, 0]), pa.array(keys[new, 1]), pa.array(np.full(n, t1)), pa.array(np.full(n, t2)), pa.array(np.full(n, first)), lists], names=["w1", "w2", "t1", "t2", "first", "starts"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -105,7 +119,7 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
         for raw, starts in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
             parts = raw.split()
             edge = np.zeros(len(parts) + 1, np.int64)
-            starts = np.array(starts)
+            starts = np.frombuffer(b"".join(starts), np.int32)
             np.add.at(edge, starts, 1)
             np.add.at(edge, starts + window, -1)
             gone = np.cumsum(edge[:-1]) > 0
@@ -133,11 +147,17 @@ class FingerprintIndex:
         self.spark.createDataFrame([(json.dumps(self.state),)], "value string").coalesce(1).write.text(f"{self.path}/manifest/{self.state['version']:09d}")
 
     def _write(self, df: DataFrame, run: str, table: str) -> DataFrame:
-        keys = df.columns[: TABLES[table][1]]
-        name = f"run_{uuid.uuid4().hex}"
-        df.write.bucketBy(self.state["buckets"], *keys).sortBy(*keys).option("path", f"{self.path}/{run}/{table}").saveAsTable(name)
+        return self._bucketed(df, TABLES[table][1], f"{self.path}/{run}/{table}")
+
+    def _bucketed(self, df: DataFrame, n: int, path: str) -> DataFrame:
+        keys, name = df.columns[:n], f"run_{uuid.uuid4().hex}"
+        df.write.bucketBy(self.state["buckets"], *keys).sortBy(*keys).option("path", path).saveAsTable(name)
         return self._taken(name)
 
+    def _dealt(self, df: DataFrame, n: int, name: str) -> DataFrame:
+        """df, exchanged once, in a scratch folder: what groups or joins it by its n leading columns does not exchange it again."""
+        return self._bucketed(df.repartition(self.state["buckets"], *df.columns[:n]), n, scratch_folder(self.spark, name))
+
     def _taken(self, name: str) -> DataFrame:
         """The files of a table, with their buckets; the catalogue forgets its name."""
         df = self.spark.table(name)
@@ -189,25 +209,38 @@ class FingerprintIndex:
         known = rows.where("doc_id is not null").groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.first("raw").alias("raw"))
         met = self._met(known, "texts", ["first"]).where("size(_met) = 0").drop("_met")
         texts = self._write(met.mapInArrow(lambda it: _grams(it, window, gram), TABLES["texts"][0]), new, "texts")
+        # grams of more texts than one task should get: some task holds more than their mean
+        most = max(HOT // self.state["buckets"], OFTEN)
+        often = materialize(texts.select("grams").mapInArrow(lambda it: _often(it, most), "gram long").distinct(), "substring-often")
+        dealt = [False] if often.isEmpty() else [False, True]
+        all_ = texts.select(F.explode("grams").alias("gram"), "t1", "t2")
+        held = [all_.join(F.broadcast(often), "gram", "left_semi" if many else "left_anti") if dealt[1:] else all_ for many in dealt]
+        held[0] = self._dealt(held[0], 1, "substring-grams")
         # which grams two texts hold, and which of them had one holder so far
-        held = texts.select("t1", "t2", F.explode("grams").alias("gram"))
-        counted = held.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2")).alias("t")).select("gram", "n", "t.t1", "t.t2")
+        counted = reduce(DataFrame.union, [h.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2")).alias("t")).select("gram", "n", "t.t1", "t.t2") for h in held])
         own = self._write(counted, new, "grams")
         before = F.aggregate("_met", F.lit(0).cast("long"), lambda a, m: a + m["n"])
         shared = self._met(own, "grams", ["n", "t1", "t2"]).withColumn("before", before).where(F.col("n") + F.col("before") > 1)
         shared = materialize(shared.select("gram", "n", F.when(F.col("before") == 1, F.col("_met")[0]).alias("old")), "shared-grams")
-        asked = hot_join(held, shared.select("gram", "n"), ["gram"], "n").groupBy("t1", "t2").agg(F.collect_set("gram").alias("asked"))
-        seen = [texts.join(asked, ["t1", "t2"]).select("t1", "t2", "first", "raw", "asked")]
-        late = shared.where("old is not null").groupBy("old.t1", "old.t2").agg(F.collect_set("gram").alias("asked"))
-        seen += [self.run(r, "texts").join(late, ["t1", "t2"]).select("t1", "t2", "first", "raw", "asked") for r in self.state["runs"]]
-        digests = reduce(DataFrame.union, [s.mapInArrow(lambda it: _digest(it, window, gram), "w1 long, w2 long, t1 long, t2 long, first long, start int") for s in seen])
-        digests = materialize(digests, "substring-windows")
-        # whose windows start in a document of a smaller id
-        least = digests.groupBy("w1", "w2").agg(F.min("first").alias("first"), F.max("first").alias("last"), F.count("*").alias("n"))
-        least = materialize(self._met(least, "windows", ["first"]), "substring-least")
-        self._write(least.select("w1", "w2", "first"), new, "windows")
-        low = least.select("w1", "w2", "n", "last", F.aggregate("_met", F.col("first"), lambda a, m: F.least(a, m["first"])).alias("low")).where("low < last").drop("last")
-        gone = hot_join(digests, low, ["w1", "w2"], "n").where("low < first").groupBy("t1", "t2").agg(F.collect_set("start").alias("starts"))
+        digested = []
+        for many, h in zip(dealt, held, strict=True):
+            own = shared if not dealt[1:] else shared.join(F.broadcast(often), "gram", "left_semi" if many else "left_anti")
+            asked = (hot_join(h, own.select("gram", "n"), ["gram"], "n") if many else h.join(own.select("gram"), "gram")).groupBy("t1", "t2").agg(F.collect_set("gram").alias("asked"))
+            seen = [texts.join(asked, ["t1", "t2"]).select("t1", "t2", "first", "raw", "asked")]
+            late = own.where("old is not null").groupBy("old.t1", "old.t2").agg(F.collect_set("gram").alias("asked"))
+            seen += [self.run(r, "texts").join(late, ["t1", "t2"]).select("t1", "t2", "first", "raw", "asked") for r in self.state["runs"]]
+            digests = reduce(DataFrame.union, [s.mapInArrow(lambda it: _digest(it, window, gram), "w1 long, w2 long, t1 long, t2 long, first long, starts binary") for s in seen])
+            digests = materialize(digests, "substring-windows") if many else self._dealt(digests, 2, "substring-windows")
+            # whose windows start in a document of a smaller id
+            least = digests.groupBy("w1", "w2").agg(F.min("first").alias("first"), F.max("first").alias("last"), F.count("*").alias("n"))
+            least = self._bucketed(self._met(least, "windows", ["first"]), 2, scratch_folder(self.spark, "substring-least"))
+            digested.append((many, digests, least))
+        self._write(reduce(DataFrame.union, [least.select("w1", "w2", "first") for _, _, least in digested]), new, "windows")
+        gone = []
+        for many, digests, least in digested:
+            low = least.select("w1", "w2", "n", "last", F.aggregate("_met", F.col("first"), lambda a, m: F.least(a, m["first"])).alias("low")).where("low < last").drop("last")
+            gone.append((hot_join(digests, low, ["w1", "w2"], "n") if many else digests.join(low, ["w1", "w2"])).where("low < first").select("t1", "t2", "starts"))
+        gone = reduce(DataFrame.union, gone).groupBy("t1", "t2").agg(F.collect_list("starts").alias("starts"))
         cut = texts.select("t1", "t2", "raw").join(gone, ["t1", "t2"]).select("t1", "t2", "raw", "starts")
         cut = materialize(cut.mapInArrow(lambda it: _cut(it, window), "t1 long, t2 long, n_removed long, kept string"), "substring-cut")
         # what holds for a text holds for its first document; later ones lose all

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.llm import op1_packing, op2_toxicity, op3_secrets, op4_licenses, op5_simhash, op7_substrings, op8_language, op10_mixing
-from tessera.llm.common import connected_components
+from tessera.llm.common import connected_components, hot_join
 from tessera.llm.trigrams import query_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -362,6 +362,23 @@ def test_index_goes_on_in_a_later_session(spark, rows, tmp_path):
     assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_grams_of_many_texts_are_dealt(spark, rows, monkeypatch):
+    """Both ways of a gram, and windows that a text repeats, give one result; the rows of few are exchanged once."""
+    line = " ".join(f"w{i}" for i in range(60))
+    more = [(5_000_000 + i, f"{line} {line} x{i} " + " ".join(f"y{i % 7}{j}" for j in range(70)), None, None) for i in range(30)]
+    more = [r[: len(rows[0])] for r in more] + list(rows)
+    frame = spark.createDataFrame([(r[0], r[1]) for r in more], "doc_id long, text string").repartition(3)
+    for hot, often in ((8, 2), (1000, 16)):
+        monkeypatch.setattr(op7_substrings, "HOT", hot)
+        monkeypatch.setattr(op7_substrings, "OFTEN", often)
+        got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in op7_substrings.dedup(frame).collect())
+        assert got == dedup(more)
+    exchanged = []
+    monkeypatch.setattr(op7_substrings, "hot_join", lambda rows, keyed, keys, *a: exchanged.append(keys) or hot_join(rows, keyed, keys, *a))
+    op7_substrings.dedup(frame, batches=1)
+    assert exchanged == [["t1", "t2"]]
+
+
 def test_language(spark, none):
     sounds = {"xx": ["ka", "ki", "ko", "kur"], "yy": ["sse", "sso", "sil", "sam"], "zz": ["ulm", "olm", "elm", "ilm"]}
     rows = []
