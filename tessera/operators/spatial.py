@@ -18,10 +18,10 @@ from tessera.functions import rect as R
 MANY = 256
 
 
-def extents(shapes: DataFrame, prefix: str) -> tuple[float, float, float]:
-    """Measured: the 90th percentile of box sides, and the greatest width and height."""
+def extents(shapes: DataFrame, prefix: str, sides: bool = True) -> tuple[float, float, float]:
+    """Measured: the 90th percentile of box sides, unless sides are not asked for, and the greatest width and height."""
     r = R.rect(prefix)
-    got = shapes.agg(F.percentile_approx(F.greatest(R.width(r), R.height(r)), 0.9), F.max(R.width(r)), F.max(R.height(r))).first()
+    got = shapes.agg(F.percentile_approx(F.greatest(R.width(r), R.height(r)), 0.9) if sides else F.lit(None), F.max(R.width(r)), F.max(R.height(r))).first()
     return max(float(got[0] or 0.0), 1e-6), float(got[1] or 0.0), float(got[2] or 0.0)
 
 
@@ -47,7 +47,7 @@ def spatial_join(a: DataFrame, b: DataFrame, exact: Callable[[], Column] | None
 
     dealt: small rows whose exact() is much work; adaptive execution would join them in few tasks.
     """
-    sizes = [extents(a, "a_"), extents(b, "b_")]
+    sizes = [extents(a, "a_", cell is None), extents(b, "b_", cell is None)]
     cell = cell or max(x[0] for x in sizes)
     large = [(w / cell + 2) * (h / cell + 2) > MANY for _, w, h in sizes]
     ra, rb = R.rect("a_"), R.rect("b_")
