@@ -1,5 +1,7 @@
 """Ring repair, surrogates, hazard cells and waves against invariants and brute force."""
 
+import math
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -115,3 +117,33 @@ def test_waves_send_no_requests_to_the_driver(spark, monkeypatch):
     monkeypatch.setattr(W, "run_wave", lambda p, *a: plans.append(p._jdf.queryExecution().toString()) or run(p, *a))
     got = W.adaptive(parts, (30.0, 20.0), 1.0, samples=20, most=2)
     assert got.count() == 24 and plans and not any("Broadcast" in p for p in plans)
+
+
+def test_edges_and_chords_are_as_by_definition():
+    """Distances and sides of points by one edge at a time, chords by one line at a time, to the last bit."""
+    for seed in range(20):
+        r = np.random.default_rng(seed)
+        turn = np.sort(r.uniform(0, 2 * np.pi, 9))
+        ring = (r.uniform(5, 40, 9) * np.array([np.cos(turn), np.sin(turn)])).T.round(1 if seed % 2 else 4)
+        edges, points = G.Edges(ring), np.vstack([r.uniform(-40, 40, (60, 2)), ring])
+        for p, far, in_ in zip(points, edges.squares(points), edges.inside(points), strict=True):
+            near, odd = math.inf, False
+            for a, b in zip(ring, np.roll(ring, -1, axis=0), strict=True):
+                d = b - a
+                t = min(max(((p - a) * d).sum() / (d * d).sum(), 0.0), 1.0)
+                near = min(near, float((((p - a) - t * d) ** 2).sum()))
+                if (a[1] < p[1]) != (b[1] < p[1]):
+                    odd ^= bool(p[0] < a[0] + (p[1] - a[1]) / (b[1] - a[1]) * (b[0] - a[0]))
+            assert (near, odd) == (far, in_)
+        centre, want = (ring.min(0) + ring.max(0)) / 2, []
+        for angle in np.arange(5) * math.pi / 5:
+            along, across = np.array([math.cos(angle), math.sin(angle)]), np.array([-math.sin(angle), math.cos(angle)])
+            s, t = (ring - centre) @ along, (ring - centre) @ across
+            s2, t2 = np.roll(s, -1), np.roll(t, -1)
+            for level in np.linspace(t.min(), t.max(), 9)[1:-1]:
+                hit = (t < level) != (t2 < level)
+                at = np.sort(s[hit] + (level - t[hit]) / (t2[hit] - t[hit]) * (s2[hit] - s[hit]))
+                for a, b in zip(at[0::2], at[1::2], strict=True):
+                    cut = (b - a) * (1 - 0.999) / 2
+                    want.append([*(centre + along * (a + cut) + across * level), *(centre + along * (b - cut) + across * level)])
+        assert Q.chords(ring, 5, 7).tolist() == np.array(want).tolist()
