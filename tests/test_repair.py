@@ -119,6 +119,42 @@ def test_waves_send_no_requests_to_the_driver(spark, monkeypatch):
     assert got.count() == 24 and plans and not any("Broadcast" in p for p in plans)
 
 
+def test_waves_make_all_runs_that_may_better(spark, monkeypatch):
+    """Run 37 is the first that puts these on one sheet; the query asks for the reference's runs and samples, without a time limit."""
+    from tessera.config import Search
+    from tessera.plans import hazards
+
+    sizes = [(929, 23.0, 12.0), (5021, 31.0, 7.0), (6289, 19.0, 17.0), (7995, 4.0, 6.0), (17848, 37.0, 16.0), (18591, 30.0, 11.0)]
+    parts = spark.createDataFrame([(63060, *s, 1) for s in sizes], "request long, id long, w double, h double, demand long")
+    asked, run = [], W.run_wave
+    monkeypatch.setattr(W, "run_wave", lambda p, sheet, gap, first, size, samples: asked.append((first, size, samples)) or run(p, sheet, gap, first, size, samples))
+    adaptive = W.adaptive
+    monkeypatch.setattr(hazards, "_requests", lambda s, d: parts)
+    monkeypatch.setattr(W, "adaptive", lambda p, *a, **k: asked.append(k.get("seconds", 600.0)) or adaptive(p, *a, **k))
+    assert [tuple(r) for r in hazards.adaptive_waves(spark, "").collect()] == [(63060, 6)]
+    assert asked == [math.inf, (0, 15, Search.samples), (15, 15, Search.samples), (30, 15, Search.samples)]
+    assert adaptive(parts, (60.0, 40.0), 1.0).toPandas().layout.tolist() == [0] * 6
+
+
+def test_runs_that_draw_nothing_are_the_same_and_bounds_hold():
+    from tessera.kernels import search as K
+
+    r, drew = np.random.default_rng(5), 0
+    for _ in range(60):
+        items = [(i, float(w), float(h), int(n)) for i, (w, h, n) in enumerate(zip(r.integers(1, 51, 5), r.integers(1, 18, 5), r.integers(1, 3, 5), strict=True))]
+        exact = K.fill_bins(items, [(0, 60.0, 40.0, 99)], 1.0, 0, exact=True)
+        assert 1 <= K.least_pages(items, (60.0, 40.0), 1.0) <= len({p[0] for p in exact})
+        for seed in (1, 2):
+            drawn = []
+            got = K.fill_bins(items, [(0, 60.0, 40.0, 99)], 1.0, seed, 300, drawn=drawn)
+            drew += bool(drawn)
+            assert drawn or got == exact
+    assert 0 < drew < 120
+    # three that are wider than half a sheet lie above one another; their area is less than a sheet's
+    assert K.least_pages([(0, 31.0, 13.0, 3)], (60.0, 40.0), 1.0) == 2 and K.least_pages([(0, 31.0, 12.0, 3)], (60.0, 40.0), 1.0) == 1
+    assert K.least_pages([(0, 29.0, 19.0, 4)], (60.0, 40.0), 1.0) == 1 and K.least_pages([(0, 29.0, 19.0, 5)], (60.0, 40.0), 1.0) == 2 and K.least_pages([], (60.0, 40.0), 1.0) == 0
+
+
 def test_edges_and_chords_are_as_by_definition():
     """Distances and sides of points by one edge at a time, chords by one line at a time, to the last bit."""
     for seed in range(20):
