@@ -141,10 +141,11 @@ def nest(parts: DataFrame, sheet: tuple[float, float], gap: float, config: Searc
     full = lattice_pages(rows.where(single | F.lit(max_fit)).withColumn("half", half), sheet, gap)
     if max_fit:
         return full.select("request", F.concat(F.lit("fit-"), F.col("id")).alias("page"), F.lit(1).cast("long").alias("copies"), "id", "rot", "tx", "ty")
-    pages = full.where("full > 0").select("request", F.lit("full").alias("page"), F.col("full").alias("copies"), "id", "rot", "tx", "ty")
-    rest = full.where("copy < rest").select("request", F.lit("rest").alias("page"), F.lit(1).cast("long").alias("copies"), "id", "rot", "tx", "ty")
+    # both pages of a copy from one row: two queries of the lattices would find them twice
+    both = F.array(F.struct(F.lit("full").alias("page"), F.col("full").alias("copies"), (F.col("full") > 0).alias("used")), F.struct(F.lit("rest").alias("page"), F.lit(1).cast("long").alias("copies"), (F.col("copy") < F.col("rest")).alias("used")))
+    pages = full.select("request", F.explode(F.filter(both, lambda p: p["used"])).alias("p"), "id", "rot", "tx", "ty").select("request", "p.page", "p.copies", "id", "rot", "tx", "ty")
     general = polygon_bins(rows.where(~single), [N.Sheet(0, N.box(*sheet), 1 << 40)], gap, config)
-    return pages.unionByName(rest).unionByName(general.select("request", F.concat(F.lit("page-"), F.col("layout")).alias("page"), F.lit(1).cast("long").alias("copies"), "id", "rot", "tx", "ty"))
+    return pages.unionByName(general.select("request", F.concat(F.lit("page-"), F.col("layout")).alias("page"), F.lit(1).cast("long").alias("copies"), "id", "rot", "tx", "ty"))
 
 
 def parts_of_svgs(svgs: DataFrame) -> DataFrame:

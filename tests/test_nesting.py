@@ -216,3 +216,39 @@ def test_many_copies_are_laid_and_checked_quickly(spark):
     for _ in range(3):
         assert N.lattice_sheet(ring, 1.0, (220.0, 160.0))
     assert (time.process_time() - began) / 3 < 0.08  # 0.11 with a call for every stretch
+
+
+def test_hulls_and_differences_at_once_are_those_of_all_points():
+    r = np.random.default_rng(0)
+    for k in range(40):
+        body = G.hull(r.normal(0, 20, (12, 2)) if k else N.box(30.0, 20.0))
+        other, steps = -body if k % 2 else G.hull(r.normal(0, 9, (7, 2))), r.normal(0, 30, (20, 2))
+        assert np.allclose(S.hull_areas(body, other, steps), [G.area(G.hull(np.vstack([body, other + v]))) for v in steps])
+        every = (body[:, None] - other[None]).reshape(-1, 2)
+        n, c, corners = S.difference(body, other)
+        assert np.allclose(c, (n @ every.T).max(1)) and np.isclose(G.area(corners), G.area(G.hull(every)))
+
+
+def test_phases_of_a_lattice_are_those_of_all_steps():
+    ring, steps, sheet = star(3), (np.array([31.0, 4.0]), np.array([-9.0, 40.0])), (300.0, 200.0)
+    room, m = np.array(sheet) - np.ptp(ring, axis=0), np.column_stack(steps)
+    grid = np.array([(i, j) for i in range(-40, 41) for j in range(-40, 41)]) @ m.T
+    most = 0
+    for a in range(3):
+        for b in range(3):
+            at = grid + m @ np.array([a / 3, b / 3])
+            most = max(most, int(((at >= -1e-9) & (at <= room + 1e-9)).all(1).sum()))
+    at = S.fill_lattice(ring, steps, sheet) + ring.min(0)
+    assert len(at) == most and ((at >= -1e-9) & (at <= room + 1e-9)).all() and len(np.unique(at.round(6), axis=0)) == most
+    assert len(S.fill_lattice(ring, steps, (5.0, 5.0))) == 0
+
+
+def test_lattices_of_a_request_are_found_once(spark):
+    """Full sheets and the rest of the demand come from one pass over the parts."""
+    ring = [(float(x), float(y)) for x, y in star(4).tolist()]
+    schema = "request long, id long, ring array<struct<x:double,y:double>>, demand long, turns array<double>, quality int"
+    pages = O.nest(spark.createDataFrame([(q, q, ring, d, None, None) for q, d in ((0, 101), (1, 3))], schema), (400.0, 300.0), 1.0)
+    assert pages._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2  # lattices, left-bottom-fill
+    got = pages.groupBy("request", "page", "copies").count().toPandas()
+    assert {q: int((f["copies"] * f["count"]).sum()) for q, f in got.groupby("request")} == {0: 101, 1: 3}
+    assert sorted(got[got.request == 0].page) == ["full", "rest"] and got[got.request == 1].page.tolist() == ["rest"]
