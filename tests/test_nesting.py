@@ -252,3 +252,61 @@ def test_lattices_of_a_request_are_found_once(spark):
     got = pages.groupBy("request", "page", "copies").count().toPandas()
     assert {q: int((f["copies"] * f["count"]).sum()) for q, f in got.groupby("request")} == {0: 101, 1: 3}
     assert sorted(got[got.request == 0].page) == ["full", "rest"] and got[got.request == 1].page.tolist() == ["rest"]
+
+
+def test_search_finds_the_best_of_all_tries_without_a_test_of_each_hazard(monkeypatch):
+    """Of the same tries, each tested against every hazard, those of least loss; edges are crossed for many hazards at once."""
+    crossed, calls = N.Body.crossed, []
+    monkeypatch.setattr(N.Body, "crossed", lambda b, ring: calls.append(1) or crossed(b, ring))
+
+    def brute(model, layout, draw, samples, local):
+        low, high, best, cost = layout.outer.low, layout.outer.high.copy(), None, math.inf
+
+        def attempt(tries):
+            nonlocal best, cost
+            for t, loss in zip(tries, N._loss(model, tries), strict=True):
+                ring = N._moved(model.ring, t[None])[0]
+                if loss < cost and layout.outer.holds(ring, ring.min(0), ring.max(0)) and not any(h.meets(ring) for h in layout.hazards(model.part.quality)):
+                    best, cost = tuple(t.tolist()), float(loss)
+
+        n_local = int(samples * local)
+        for part in np.array_split(np.arange(samples - n_local), max(1, (samples - n_local) // 500)):
+            n = len(part)
+            angle = draw.uniform(0, 2 * math.pi, n)
+            attempt(np.column_stack([angle, draw.uniform(low[0], high[0], n), draw.uniform(low[1], high[1], n)]))
+            if best is not None:
+                high[0] = min(high[0], max(low[0], cost / 10))
+        side = float((layout.outer.high - layout.outer.low).max())
+        for k in range(10):
+            n, t = n_local // 10, k / 10
+            move, turn = (a * (b / a) ** t for a, b in (N.MOVE, N.TURN))
+            if best is not None:
+                attempt(np.column_stack([best[0] + draw.normal(0, turn, n), best[1] + draw.normal(0, move * side, n), best[2] + draw.normal(0, move * side, n)]))
+        return best
+
+    layout, places, tests = N.Layout(N.Sheet(0, N.box(150.0, 110.0), zones=[(2, N.box(20.0, 20.0) + 30)]), 1.0), [], 0
+    for k in range(7):
+        model = N.Model.of(N.Part(k, star(k), turns=None, quality=None if k % 2 else 2), 1.0)
+        draw, again = (np.random.Generator(np.random.Philox(k)) for _ in range(2))
+        want, tests = brute(model, layout, draw, 700, 0.2), len(calls)
+        places.append(N.search(model, layout, again, 700, 0.2))
+        assert places[-1] == want and len(calls) == tests
+        if want:
+            N._put(layout, model, want)
+    assert sum(p is not None for p in places) >= 4
+
+
+def test_many_bodies_are_as_each_of_them():
+    r = np.random.default_rng(2)
+    bodies = [N.Body(star(k, 5 + k) + r.uniform(0, 120, 2), np.zeros((0, 3))) for k in range(6)]
+    every, points = N.Bodies(bodies), r.uniform(-30, 150, (500, 2))
+    assert (every.inside(points) == np.any([b.edges.inside(points) for b in bodies], axis=0)).all()
+    met = 0
+    for k in range(200):
+        ring = star(k) * r.uniform(0.1, 3) + r.uniform(0, 120, 2)
+        if not every.inside(ring).any():
+            assert every.meet(ring, ring.min(0), ring.max(0)) == any(b.meets(ring) for b in bodies)
+            met += every.meet(ring, ring.min(0), ring.max(0))
+    assert met > 2
+    nothing = N.Bodies([])
+    assert not nothing.inside(points).any() and not nothing.meet(star(1), star(1).min(0), star(1).max(0))
